@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import suffix_array
+from . import substring, suffix_array
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix_array.query,
+    "op4_substring_dedup": substring.query,
 }
 ORACLE_SQL: dict[str, str] = {}
