@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring, suffix_array
+from . import minhash, substring, suffix_array
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix_array.query,
     "op4_substring_dedup": substring.query,
+    "op7_minhash_near_dedup": minhash.query,
 }
 ORACLE_SQL: dict[str, str] = {}
