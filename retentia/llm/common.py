@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass holds at once; bounds a worker's memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of one Arrow batch between Spark and a worker.
 BATCH_ROWS = 1000
 NULL_ID = -(2**63)

@@ -370,7 +370,7 @@ def repeated(docs: DataFrame, spec: Spec, resolver: Callable, finish: Callable,
     dealt = C.keyed_documents(docs, carry).repartition("k", "tag")
     opened = (
         dealt.join(by_doc.hint("shuffle_hash"), ["k", "tag"])
-        .select("k", "tag", "text", "spans")
+        .select("k", "tag", "text", "spans", "doc_id", *carry)  # all columns, so that both joins read one exchange of the texts
         .mapInArrow(fetch_open(spec, parts), OPENED)
         .repartitionById(parts, F.col("part"))
         .mapInArrow(resolve_open(spec, resolver), SPANS)
