@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import minhash, substring, suffix_array
+from . import minhash, packing, sharding, substring, suffix_array
 
 QUERIES = {
     "op3_suffix_array_dedup": suffix_array.query,
     "op4_substring_dedup": substring.query,
+    "op5_sharding": sharding.query,
     "op7_minhash_near_dedup": minhash.query,
+    "op9_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
