@@ -69,6 +69,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = splitmix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: What parts words of letters and digits: all other ASCII.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -129,10 +131,10 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES):
         i = min(j, n)
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words [^\\x20\\x09-\\x0D]+, and the offsets of each document's words."""
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words, [^\\x20\\x09-\\x0D]+ by default, and the offsets of each document's words."""
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     first = inside[1:-1] & ~inside[:-2]
     last = inside[1:-1] & ~inside[2:]
     edges = off[1:-1]
@@ -144,9 +146,9 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit hash of each word, starts, ends, offsets of each document's words)."""
-    starts, ends, woff = word_bounds(data, off)
+    starts, ends, woff = word_bounds(data, off, space)
     return Prefix(BYTE_VALUES[data]).of(starts, ends), starts, ends, woff
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, packing, sharding, substring, suffix_array
+from . import decontamination, minhash, packing, quality, sharding, substring, suffix_array, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
+    "op2_toxicity": toxicity.query,
     "op3_suffix_array_dedup": suffix_array.query,
     "op4_substring_dedup": substring.query,
     "op5_sharding": sharding.query,
     "op7_minhash_near_dedup": minhash.query,
+    "op8_quality": quality.query,
     "op9_packing": packing.query,
 }
 ORACLE_SQL: dict[str, str] = {}
