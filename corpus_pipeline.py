@@ -1,4 +1,8 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Toxic documents go, one document of each near-duplicate group stays, passages that stand earlier in the corpus are cut
+out of the later documents, documents that hold a benchmark item go, and what is left is packed into token windows.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import common, suffix_array
+from retentia.llm import common, decontamination, minhash, packing, suffix_array, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one_of_each(docs)
 
 
-def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go, all but the first."""
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_array.drop_repeated_passages(docs)
 
 
-STAGES = [("suffix_array_dedup", dedup_passages)]
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", keep_one_near_duplicate),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack),
+]
+#: SQL can't express fitted models, tilings and tokenizers; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

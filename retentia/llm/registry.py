@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, minhash, packing, quality, sharding, substring, suffix_array, toxicity
+from . import decontamination, language, minhash, neighbours, packing, quality, sharding, substring, suffix_array, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_array.query,
     "op4_substring_dedup": substring.query,
     "op5_sharding": sharding.query,
+    "op6_nearest_neighbours": neighbours.query,
     "op7_minhash_near_dedup": minhash.query,
     "op8_quality": quality.query,
     "op9_packing": packing.query,
+    "op10_language_id": language.query,
 }
 ORACLE_SQL: dict[str, str] = {}
