@@ -65,6 +65,18 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Ids that may be broadcast to pick documents.
+BROADCAST_IDS = 200_000
+
+
+def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined by doc_id with ids (k, distinct; the smallest stands for null). The ids are written and
+    counted first; few are broadcast, and then documents needn't be shuffled."""
+    ids = written(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(ids, "k", how).drop("k")
+
+
 #: A 64-bit value for each byte.
 BYTE_VALUES = splitmix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 SPACE = np.zeros(256, bool)

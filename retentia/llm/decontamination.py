@@ -177,4 +177,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A table like documents without those that leak an item."""
     found = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    return docs.withColumn("k", F.coalesce("doc_id", F.lit(C.NULL_ID))).join(found, "k", "left_anti").drop("k")
+    return C.picked(docs, found, "left_anti")

@@ -27,8 +27,6 @@ ROWS, BANDS = 5, 30
 SLOTS = 1 << 20
 #: Documents in a block when a bucket is compared across its components.
 BLOCK = 500
-#: Ids that may be broadcast to pick documents.
-BROADCAST_IDS = 200_000
 SIGNED = "k long, f1 long, f2 long, n_shingles long, bands array<long>"
 
 
@@ -143,7 +141,7 @@ def compare_block(size: int, least_percent: int):
 
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """k, text of the documents whose ids are in `ids` (k, distinct); few ids are broadcast, after a count of them."""
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= C.BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "k", "left_semi")
 
 
@@ -202,6 +200,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """A table like documents with the smallest doc_id of each component; documents without words stay."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(C.NULL_ID)))
-    return keyed.join(kept, "k", "left_semi").drop("k")
+    others = near_duplicates(docs).where("not kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
+    return C.picked(docs, others, "left_anti")

@@ -24,9 +24,11 @@ END_ID = 2
 #: Penalties of a cut, in tokens of padding: at a document's end, at a sentence's end, elsewhere.
 AT_DOCUMENT, AT_SENTENCE, ANYWHERE = 0, 16, 512
 #: Tokens of a stream that are planned at once; bounds a worker's memory.
-PLANNED = 2_000_000
+PLANNED = 1_000_000
 #: Words whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Words that the tokenizer gets at once; its results take much memory.
+ENCODED = 4000
 TRAIL = np.zeros(256, bool)
 TRAIL[[ord(c) for c in ".,!?;:"]] = True
 LETTER = np.zeros(256, bool)
@@ -61,13 +63,18 @@ def plan_cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WIN
     return out[::-1]
 
 
+_tokenizers: dict = {}
+
+
 class WordIds:
     """Token ids of words, remembered by the words' hashes."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        if tokenizer_path not in _tokenizers:  # once in a worker's life
+            _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer = _tokenizers[tokenizer_path]
         self.clear()
 
     def clear(self):
@@ -85,9 +92,12 @@ class WordIds:
                 self.clear()
                 new[:] = True
             words = [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((i for x in got for i in x), np.uint32, size.sum())
+            sizes, parts = [], []
+            for a in range(0, len(words), ENCODED):
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODED], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+                parts.append(np.fromiter((i for x in got for i in x), np.uint32, sizes[-1].sum()))
+            size, ids = np.concatenate(sizes), np.concatenate(parts)
             hashes = np.append(self.hashes, distinct[new])
             first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
             self.ids = np.append(self.ids, ids)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +16,10 @@ from . import common as C
 from . import windows as W
 
 WIDTH = 100
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept"
 
 
-def _finish(width: int, carry: list[str]):
+def _finish(width: int, carry: list[str], as_text: bool):
     def run(batches):
         for batch in batches:
             data, off = C.text_buffer(batch.column("text"))
@@ -33,19 +32,20 @@ def _finish(width: int, carry: list[str]):
                 if len(lo):
                     ends, starts = [0, *hi.tolist()], [*lo.tolist(), len(raw)]
                     raw = b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True))
-                kept.append(raw)
+                kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary()), *(batch.column(c) for c in carry)],
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.string() if as_text else pa.binary()), *(batch.column(c) for c in carry)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carry],
             )
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Removes each byte that a `width`-byte string covers which also starts earlier (smaller doc_id, or same document and
     earlier start). docs: doc_id, text, others ignored but for those in `carry`. Returns a row per document: doc_id,
-    n_bytes, n_removed, n_spans, kept (the bytes that stay; they may begin inside a UTF-8 character), *carry.
+    n_bytes, n_removed, n_spans, kept (the bytes that stay; they may begin inside a UTF-8 character), *carry. With as_text,
+    kept is text, without the halves of characters.
 
     Null text: empty. Null doc_id: before all others. Rows with one doc_id: each its own document, and equal places
     (same id, same start) are no earlier than each other, so exact repeats of a row keep the same bytes. Texts under
@@ -53,7 +53,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, carry: tuple[str,
     """
     spec = W.Spec(words=False, width=width, spread=max(1, width * 64 // 100), any_place=False)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return W.repeated(docs, spec, W.suffix_order_resolver(width), _finish(width, list(carry)), ", ".join([SCHEMA, *fields]), list(carry))
+    return W.repeated(docs, spec, W.suffix_order_resolver(width), _finish(width, list(carry), as_text), ", ".join([SCHEMA + (" string" if as_text else " binary"), *fields]), list(carry))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """A table like documents with repeated bytes gone from its texts: a character that is cut in part goes, and so does a
     document of which only white space stays; n_chars is that of the new text. Untouched documents stay as they are."""
-    kept = remove_repeated_bytes(docs.select("doc_id", "text", "lang", "source"), carry=("lang", "source"))
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_readable("kept"))
-    out = kept.withColumn("text", text).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    kept = remove_repeated_bytes(docs.select("doc_id", "text", "lang", "source"), carry=("lang", "source"), as_text=True)
+    out = kept.withColumnRenamed("kept", "text").where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-@F.pandas_udf("string")
-def _readable(kept: pd.Series) -> pd.Series:
-    """Bytes as text, without the halves of characters."""
-    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))

@@ -182,4 +182,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A table like documents without those that the chain finds toxic. Rows that share an id go together."""
     bad = toxicity(docs, labels).where("toxic").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    return docs.withColumn("k", F.coalesce("doc_id", F.lit(C.NULL_ID))).join(bad, "k", "left_anti").drop("k")
+    return C.picked(docs, bad, "left_anti")
