@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import catalog, q_aggregates, q_ingest, q_joins, q_pedigree, q_search, q_splittree, q_traces  # noqa: F401
+
+QUERIES, ORACLE_SQL = catalog.QUERIES, catalog.ORACLE_SQL
