@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TINY = 1e-300
 
@@ -78,13 +79,13 @@ def normal_upper_tail(z: float) -> float:
     return min(1.0, max(0.0, 0.5 * math.erfc(z / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def count_tail(k: pd.Series, mu: pd.Series, r: pd.Series) -> pd.Series:
     """Column form of p_at_least; a null or NaN r means Poisson, a null k or mu gives null."""
     none = lambda v: v is None or v != v
     return pd.Series([None if none(a) or none(b) else p_at_least(a, b, None if none(c) else c) for a, b, c in zip(k, mu, r, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: normal_upper_tail(v) if v == v else np.nan)

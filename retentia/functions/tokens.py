@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.parse import rt_value
 
 NULL = "AgxNull"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s.strip()))
 

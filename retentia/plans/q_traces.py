@@ -24,8 +24,9 @@ def clipped_sql(source: str, keys: str, values: str, out: str) -> str:
     """CTEs from `source` (keys, values: a list) to `out` (keys, mu, sigma, r): ten unrolled rounds of clipping."""
     steps = [f"{out}0 AS (SELECT {keys}, {values} AS k FROM {source})"]
     for i in range(1, 11):
-        cut = f"list_avg(k) + 2 * list_stddev_pop(k)"
-        inner = f"SELECT {keys}, k, c, list_filter(k, lambda x: x <= c) AS f FROM (SELECT {keys}, k, {cut} AS c FROM {out}{i - 1})"
+        mean = f"SELECT {keys}, k, list_avg(k) AS m FROM {out}{i - 1}"
+        cut = f"SELECT {keys}, k, m + 2 * sqrt(list_avg(list_transform(k, lambda x: (x - m) * (x - m)))) AS c FROM ({mean})"
+        inner = f"SELECT {keys}, k, c, list_filter(k, lambda x: x <= c) AS f FROM ({cut})"
         steps.append(f"{out}{i} AS (SELECT {keys}, CASE WHEN len(f) < 3 THEN k ELSE f END AS k FROM ({inner}))")
     steps.append(f"{out}m AS (SELECT {keys}, k, list_median(k) AS mu FROM {out}10)")
     steps.append(f"{out}v AS (SELECT {keys}, mu, list_avg(list_transform(k, lambda x: (x - mu) * (x - mu))) AS var FROM {out}m)")
