@@ -29,7 +29,10 @@ def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def picker(kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None):
-    return (lambda rt, y: G.pick_peaks(rt, y, alpha)) if kind == "modern" else (lambda rt, y: G.pick_gaussian(rt, y, options or G.GaussianOptions()))
+    """A function from many traces to their peaks."""
+    if kind == "modern":
+        return lambda traces: [G.pick_peaks(rt, y, alpha) for rt, y in traces]
+    return lambda traces: G.pick_gaussian(traces, options or G.GaussianOptions())
 
 
 def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
@@ -40,8 +43,7 @@ def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options:
         for batch in batches:
             ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
             rows = []
-            for i, rt, y in arrays(batch):
-                peaks = find(rt, y)
+            for i, peaks in enumerate(find([(rt, y) for _, rt, y in arrays(batch)])):
                 if kind == "modern":
                     peaks = G.keep_quality(peaks, min_prominence, min_pct_area, False)
                 total = sum(p.area for p in peaks)
