@@ -74,7 +74,7 @@ def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     counted first; few are broadcast, and then documents needn't be shuffled."""
     ids = written(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(ids, "k", how).drop("k")
+    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == ids["k"], how)
 
 
 #: A 64-bit value for each byte.
@@ -181,30 +181,29 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
+def multikey_quicksort(keys: list) -> np.ndarray:
     """The order of rows by several key columns: sort by the first, then only the groups that tie by the next.
 
-    Column by column this is multikey quicksort: a partition by the d-th symbol, and only its equal parts go on to symbol d+1.
-    """
-    n = len(keys[0])
-    order = np.argsort(keys[0])
+    Column by column this is multikey quicksort: a partition by the d-th symbol, and only its equal parts go on to symbol
+    d + 1. A key is an array, or a function from row numbers to values, so that later symbols are only read for ties."""
+    get = lambda key, rows: key(rows) if callable(key) else key[rows]
+    first = keys[0](slice(None)) if callable(keys[0]) else keys[0]
+    n = len(first)
+    order = np.argsort(first)
     group = np.zeros(n, np.int64)
     tied = np.arange(n)
     for d, key in enumerate(keys):
+        values = get(key, order[tied])
         if d:
-            # rows of tied groups alone, by (group, key)
-            rows = order[tied]
-            inner = np.lexsort((key[rows], group[tied]))
-            order[tied] = rows[inner]
-        if len(tied) == 0 or d + 1 == len(keys):
+            inner = np.lexsort((values, group[tied]))
+            order[tied], values = order[tied][inner], values[inner]
+        if d + 1 == len(keys):
             break
-        v = key[order[tied]]
-        new = np.ones(len(tied), bool)
-        new[1:] = (v[1:] != v[:-1]) | (group[tied][1:] != group[tied][:-1])
-        ids = np.cumsum(new)
+        ids = np.cumsum(changes(values, group[tied]))
         group[tied] = ids
-        size = np.bincount(ids)
-        tied = tied[size[ids] > 1]
+        tied = tied[np.bincount(ids, minlength=1)[ids] > 1]
+        if not len(tied):
+            break
     return order
 
 

@@ -32,6 +32,8 @@ from . import common as C
 U64 = np.uint64
 #: Open runs of one anchor beyond which windows are compared by fingerprint.
 HOT_ANCHOR = 2000
+#: Runs that a task settles among themselves before they are dealt out; bounds a worker's memory.
+SETTLED = 200_000
 #: Documents from which splitters are drawn.
 SPLITTER_DOCS = 3000
 CLOSED, OPEN, HOT = 0, 1, 2
@@ -155,28 +157,31 @@ def settle(anchor, run, k, start, weight, any_place):
 
 
 def find_runs(spec: Spec, cut_anchor, cut_run):
-    def run(batches):
-        got = []
-        for batch in batches:
-            for k, tag, start, n, anchor, run_ in batch_runs(batch, spec):
-                got.append((anchor, run_, k, tag.astype(np.uint32), start.astype(np.int32), n.astype(np.uint16)))
-        if not got:
-            return
+    def dealt(got):
         anchor, run_, k, tag, start, n = (np.concatenate(c) for c in zip(*got, strict=True))
-        del got
-        order, closed, first, by_run, _, total = settle(anchor, run_, k, start, np.ones(len(k)), spec.any_place)
+        got.clear()
+        order, closed, first, _, _, total = settle(anchor, run_, k, start, np.ones(len(k)), spec.any_place)
         anchor, run_, k, tag, start, n = (c[order] for c in (anchor, run_, k, tag, start, n))
-        multi = np.minimum(total, 2).astype(np.uint8)
         # one of each run goes on, with equal (k, start) of repeated rows beside it; the others are settled and pass through
-        state = np.where(closed & ~first, 0, multi).astype(np.uint8)
-        bucket = bucket_of(anchor, run_, cut_anchor, cut_run)
-        by = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[by], np.arange(len(cut_anchor) + 2))
+        state = np.where(closed & ~first, 0, np.minimum(total, 2)).astype(np.uint8)
+        bucket = bucket_of(anchor, run_, cut_anchor, cut_run)  # ascending, as the runs are sorted
+        edge = np.searchsorted(bucket, np.arange(len(cut_anchor) + 2))
         for b in np.flatnonzero(edge[1:] > edge[:-1]):
-            r = by[edge[b] : edge[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([C.packed(anchor[r], run_[r], k[r], tag[r], start[r], n[r], state[r])], pa.binary())], ["part", "blob"]
-            )
+            r = slice(edge[b], edge[b + 1])
+            blob = C.packed(anchor[r], run_[r], k[r], tag[r], start[r], n[r], state[r])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["part", "blob"])
+
+    def run(batches):
+        got, size = [], 0
+        for batch in batches:
+            for k, tag, start, n, anchor, run_ in batch_runs(batch, spec):
+                got.append((anchor, run_, k, tag.astype(np.uint32), start.astype(np.int32), n.astype(np.uint16)))
+                size += len(k)
+                if size >= SETTLED:
+                    yield from dealt(got)
+                    size = 0
+        if got:
+            yield from dealt(got)
 
     return run
 
@@ -344,11 +349,13 @@ def suffix_order_resolver(width: int):
             words[:-1] = (words[:-1] << U64(8)) | text[b : b + len(values)]
         steps = [*range(0, width - 7, 8)] + ([width - 8] if width % 8 else [])
         pos = start[rep].astype(np.int64) + (at - off[rep])
-        keys = [words[at + s] for s in steps]
-        order = C.multikey_quicksort([*keys, k[rep], pos])
-        first = C.changes(*(x[order] for x in keys))
+        keys = [lambda rows, s=s: words[at[rows] + s] for s in steps]
+        order = C.multikey_quicksort([*keys, lambda rows: k[rep[rows]], pos])
+        first = np.zeros(len(order), bool)
+        for key in keys:
+            first |= C.changes(key(order))
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        ko, po = k[rep][order], pos[order]
+        ko, po = k[rep[order]], pos[order]
         hit = np.zeros(len(at), bool)
         hit[order] = (ko != ko[head]) | (po != po[head])
         return hit
