@@ -8,6 +8,7 @@ linear in the number of possible cuts. The last, short windows of the partitions
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 
@@ -63,18 +64,48 @@ def plan_cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WIN
     return out[::-1]
 
 
+#: Words of these letters alone are one piece to the tokenizer's splitter, so its model takes them as they are.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _tokenizers: dict = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def loaded(path: str):
+    """(the tokenizer, its model without normaliser and splitter), once in a worker's life."""
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        _tokenizers[path] = whole, Tokenizer(whole.model)
+    return _tokenizers[path]
+
+
+def encoded(words: list[str], whole, model) -> list[list[int]]:
+    lower = [w.lower() for w in words]
+    plain = [i for i, w in enumerate(lower) if PLAIN(w)]
+    out: list[list[int]] = [[]] * len(words)
+    for i, e in zip(plain, model.encode_batch_fast([lower[i].encode().decode("latin-1").translate(BYTE_LETTERS) for i in plain], add_special_tokens=False), strict=True):
+        out[i] = e.ids
+    rest = sorted(set(range(len(words))) - set(plain))
+    for i, e in zip(rest, whole.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = e.ids
+    return out
+
+
 class WordIds:
     """Token ids of words, remembered by the words' hashes."""
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        if tokenizer_path not in _tokenizers:  # once in a worker's life
-            _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer = _tokenizers[tokenizer_path]
+        self.whole, self.model = loaded(tokenizer_path)
         self.clear()
 
     def clear(self):
@@ -94,7 +125,7 @@ class WordIds:
             words = [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
             sizes, parts = [], []
             for a in range(0, len(words), ENCODED):
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(words[a : a + ENCODED], add_special_tokens=False)]
+                got = encoded(words[a : a + ENCODED], self.whole, self.model)
                 sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
                 parts.append(np.fromiter((i for x in got for i in x), np.uint32, sizes[-1].sum()))
             size, ids = np.concatenate(sizes), np.concatenate(parts)
