@@ -100,7 +100,7 @@ def test_tokens_are_the_tokenizers():
     from retentia.llm import common as C
     import pyarrow as pa
 
-    texts = ["It's, we'll... ok?! (yes)", "É́te NAÏVE ﬁ ǅ İ", "a b c 12,345.6;", "x<|endoftext|>y <|EndOfText|>", "", "Word, WORD, word,", "…, 'tis ’s d'accord"]
+    texts = ["It's, we'll... ok?! (yes)", "É́te NAÏVE ﬁ ǅ İ", "Ÿ ÿœuf straße STRASSE Ærø æ µ ª º ß ẞ mañana÷ación ×", "a b c 12,345.6;", "x<|endoftext|>y <|EndOfText|>", "", "Word, WORD, word,", "…, 'tis ’s d'accord"]
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     data, off = C.text_buffer(pa.array(texts))
     words = packing.WordIds(packing.default_tokenizer())
