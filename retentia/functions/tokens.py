@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..operators.parse import rt_value
 
+#: Fixed value: the token for no building block.
 NULL = "AgxNull"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Fractions of a trace unless told otherwise.
+#: Fixed value: fractions of a trace unless told otherwise.
 FRACTIONS = 96
 
 
@@ -64,9 +64,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: str = "channel") ->
     ends = df.where(v.isNotNull()).groupBy(by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     ends = ends.select(by, F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    # groups (channels) are few, so their ends are a small side of the join
     at = F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / width)).cast("int")
-    counts = df.where(v.isNotNull()).join(F.broadcast(ends), by).groupBy(by, at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = df.where(v.isNotNull()).join(ends, by).groupBy(by, at.alias("bin")).agg(F.count("*").alias("n"))
     all_bins = ends.select(by, "lo", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = all_bins.join(counts, [by, "bin"], "left")
     return out.select(by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -95,7 +94,7 @@ def full_fraction_coverage(points: DataFrame, digits: int = 2) -> DataFrame:
     wanted = p.groupBy("channel").agg(F.count_distinct("t").alias("wanted"))
     met = p.where("count > 0").groupBy("compound_id", "channel").agg(F.count_distinct("t").alias("met"))
     entries = p.select("compound_id", "channel").distinct()
-    full = entries.join(met, ["compound_id", "channel"], "left").join(F.broadcast(wanted), "channel")  # a row a channel
+    full = entries.join(met, ["compound_id", "channel"], "left").join(wanted, "channel")
     return full.groupBy("channel").agg(F.max("wanted").alias("n_times"), F.count("*").alias("entries"), F.count_if(F.col("met") == F.col("wanted")).alias("full"), F.avg((F.coalesce("met", F.lit(0)) == F.col("wanted")).cast("double")).alias("share"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Numbers as they are written in sheets; keeps out what only one side's cast would take.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 SEPARATOR = "\u001f"
+#: What stands for no retention time.
 MISSING_NUMBERS = ["", "na", "n/a", "nan", "-", "--", "none", "null", ".", "#n/a"]
 
 

@@ -10,7 +10,7 @@ from ..functions import tokens as K
 from .parse import SEPARATOR, last_wins
 
 BBS = ["bb1", "bb2", "bb3"]
-#: A hub or coupling is flagged below this share of passing products, in per cent.
+#: Fixed value: a hub or coupling is flagged below this share of passing products, in per cent.
 FLAG_BELOW = 50.0
 
 

@@ -1 +1 @@
-"""streaming of retentia."""
+"""Nothing streams here: the inputs are files, and the blueprint lists no streaming operator."""
