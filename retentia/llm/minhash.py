@@ -25,6 +25,8 @@ U64 = np.uint64
 ROWS, BANDS = 5, 30
 #: Slots of the universe (a power of two); more than the shingles of any but giant documents.
 SLOTS = 1 << 20
+#: Words in a shingle of the pipeline's stage; op7's contract has two.
+STAGE_WORDS = 5
 #: Documents in a block when a bucket is compared across its components.
 BLOCK = 500
 SIGNED = "k long, f1 long, f2 long, n_shingles long, bands array<long>"
@@ -199,6 +201,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """A table like documents with the smallest doc_id of each component; documents without words stay."""
-    others = near_duplicates(docs).where("not kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
+    """A table like documents with the smallest doc_id of each component; documents without words stay.
+
+    Shingles have five words, not op7's two: a few scattered changes keep most word pairs of a document as they are, so
+    two words link, and drop, documents that differ. Documents of fewer words are compared as a whole."""
+    others = near_duplicates(docs, shingle_words=STAGE_WORDS).where("not kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
     return C.picked(docs, others, "left_anti")
