@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tokens as K
 from .parse import NUMBER
 
 ORDER = {"=", "!=", ">", "<", ">=", "<="}
@@ -117,3 +119,23 @@ def distinct_values(df: DataFrame, column: str, limit: int) -> DataFrame:
     some = df.select(v.alias("value")).where("value <> ''").distinct().orderBy(F.lower("value"), "value").limit(limit + 1)
     many = some.agg((F.count("*") > limit).alias("truncated"))
     return some.orderBy(F.lower("value"), "value").limit(limit).crossJoin(F.broadcast(many))  # one row
+
+
+def tree_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows with their place (from 1) in the tree: per position the null token first, then names without case.
+
+    Rows are ranked among those with one first block; an aggregate by first block says how many stand before them."""
+    keys = [k for c in columns for k in (F.col(c) != K.NULL, F.lower(c))]
+    named = rows.withColumns({"filled": keys[0], "low": keys[1]})
+    sizes = named.groupBy("filled", "low").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("filled", "low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = named.withColumn("own", F.row_number().over(W.partitionBy("filled", "low").orderBy(*keys[2:])))
+    placed = ranked.join(sizes.select("filled", "low", before.alias("before")), ["filled", "low"])
+    return placed.select(*rows.columns, (F.col("before") + F.col("own")).alias("place"))
+
+
+def missing_extra(found: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Names, without case, that are found and not known (missing), or known and not found (extra)."""
+    a, b = (df.select(F.lower(column).alias("name")).distinct() for df in (found, known))
+    missing, extra = a.join(b, "name", "left_anti"), b.join(a, "name", "left_anti")
+    return missing.withColumn("side", F.lit("missing")).union(extra.withColumn("side", F.lit("extra")))

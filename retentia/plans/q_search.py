@@ -78,6 +78,12 @@ def o01(spark, d):
     return top.select("bb1", "bb2", "bb3", F.row_number().over(Window.orderBy(*keys)).alias("place"))
 
 
+@query("o01b_null_first_sort_whole", L.sql("rt_rows", """SELECT bb1, bb2, bb3, row_number() OVER (ORDER BY bb1 <> 'AgxNull', lower(bb1), bb2 <> 'AgxNull', lower(bb2), bb3 <> 'AgxNull', lower(bb3)) AS place
+  FROM rt_rows"""))
+def o01b(spark, d):
+    return S.tree_order(L.rt_rows(spark, d), ["bb1", "bb2", "bb3"]).select("bb1", "bb2", "bb3", "place")
+
+
 @query("o02_paged_search", "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 10) AS total FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 40 OFFSET 40")
 def o02(spark, d):
     found = S.search(L.table(spark, d, "part"), [Condition("p_size", ">", "10")]).select("p_partkey")
@@ -155,3 +161,10 @@ def u04(spark, d):
     low = lambda df: df.select(F.lower("p_name").alias("name")).distinct()
     found, known = low(parts.where("p_size > 25")), low(parts.where("p_partkey < 60"))
     return found.join(known, "name", "left_anti").withColumn("side", F.lit("missing")).union(known.join(found, "name", "left_anti").withColumn("side", F.lit("extra")))
+
+
+@query("u04b_missing_extra_whole", """WITH found AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_size > 25), known AS (SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_type = 'ECONOMY')
+  SELECT name, 'missing' AS side FROM found WHERE name NOT IN (SELECT name FROM known) UNION ALL SELECT name, 'extra' FROM known WHERE name NOT IN (SELECT name FROM found)""")
+def u04b(spark, d):
+    parts = L.table(spark, d, "part")
+    return S.missing_extra(parts.where("p_size > 25"), parts.where("p_type = 'ECONOMY'"), "p_name")

@@ -135,6 +135,14 @@ def o05(spark, d):
     return S.flagged_order(S.flagged_blocks(verified(spark, d))).select("cycle", "bb", "flags", "pass_pct").limit(5)
 
 
+@query("o05b_flagged_order_whole", L.sql("rt_rows", FLAGGED.rsplit("\n", 2)[0] + " SELECT cycle, bb, flags, pass_pct, row_number() OVER (ORDER BY flags DESC, pass_pct, cycle, bb) AS place FROM ff"))
+def o05b(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy(F.desc("flags"), "pass_pct", "cycle", "bb"))  # a row for each block
+    return S.flagged_blocks(verified(spark, d)).select("cycle", "bb", "flags", "pass_pct", place.alias("place"))
+
+
 SOURCES = "src AS (SELECT CASE WHEN row_no % 4 = 0 THEN 'metadata' WHEN row_no % 4 = 1 THEN 'pedigree' WHEN row_no % 4 = 2 THEN 'peak_pick' ELSE 'none' END AS s FROM rt_rows)"
 
 
