@@ -4,9 +4,10 @@ A window is W consecutive symbols (bytes or words) of one document. Its anchor i
 function of the window's content alone, so equal windows have equal anchors. Consecutive windows with one anchor form a
 *run*; a run is a suffix of the text whose leading tokens are the hash of the anchor and the hash of the whole run.
 
-1. Each task finds its runs, settles those that are equal within the task, and deals the rest out by sampled splitters
-   over (anchor, run). Equal runs meet in one bucket. A bucket sorts its runs and settles those that are equal as a
-   whole. Runs that share only an anchor may share some windows; these few are *open*.
+1. Each task finds its runs, settles those that are equal within the task, and deals one of each out by sampled
+   splitters over (anchor, run); settled rows go to any bucket and pass through. Equal runs that aren't settled meet in
+   one bucket. A bucket sorts its runs and settles those that are equal as a whole. Runs that share only an anchor may
+   share some windows; these few are *open*.
 2. The content of open runs is fetched from their documents and dealt out by anchor again, and a resolver (a suffix sort
    for bytes, suffix automata for words) tells which windows repeat. Open runs of an anchor that is cut by a splitter
    or very frequent are compared window by window instead, dealt by a 128-bit fingerprint of the window, so that no
@@ -34,6 +35,8 @@ U64 = np.uint64
 HOT_ANCHOR = 2000
 #: Runs that a task settles among themselves before they are dealt out; bounds a worker's memory.
 SETTLED = 200_000
+#: Settled rows that go to one bucket together.
+SETTLED_ROWS = 1000
 #: Documents from which splitters are drawn.
 SPLITTER_DOCS = 3000
 CLOSED, OPEN, HOT = 0, 1, 2
@@ -164,8 +167,17 @@ def find_runs(spec: Spec, cut_anchor, cut_run):
         anchor, run_, k, tag, start, n = (c[order] for c in (anchor, run_, k, tag, start, n))
         # one of each run goes on, with equal (k, start) of repeated rows beside it; the others are settled and pass through
         state = np.where(closed & ~first, 0, np.minimum(total, 2)).astype(np.uint8)
+        done = state == 0
+        # a common run has a settled row for each copy: these are dealt by place, not with their run
+        zero, parts = np.zeros(done.sum(), U64), len(cut_anchor) + 1
+        settled = (zero, zero, *(c[done] for c in (k, tag, start, n, state)))
+        for i in range(0, len(zero), SETTLED_ROWS):
+            rows = [c[i : i + SETTLED_ROWS] for c in settled]
+            b = int(C.splitmix(C.splitmix(rows[2][:1].astype(np.int64).view(U64)) ^ rows[4][:1].astype(U64))[0] % U64(parts))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([C.packed(*rows)], pa.binary())], ["part", "blob"])
+        anchor, run_, k, tag, start, n, state = (c[~done] for c in (anchor, run_, k, tag, start, n, state))
         bucket = bucket_of(anchor, run_, cut_anchor, cut_run)  # ascending, as the runs are sorted
-        edge = np.searchsorted(bucket, np.arange(len(cut_anchor) + 2))
+        edge = np.searchsorted(bucket, np.arange(parts + 1))
         for b in np.flatnonzero(edge[1:] > edge[:-1]):
             r = slice(edge[b], edge[b + 1])
             blob = C.packed(anchor[r], run_[r], k[r], tag[r], start[r], n[r], state[r])
@@ -210,15 +222,17 @@ def sort_buckets(spec: Spec, cut_anchor, cut_run):
         got = []
         for batch in batches:
             for blob in batch.column("blob"):
-                got.append(C.unpacked(blob.as_py(), *KINDS))
+                row = C.unpacked(blob.as_py(), *KINDS)
+                done = row[-1] == 0
+                if done.any():  # settled: these pass through and aren't held
+                    _, _, k, tag, start, n, _ = (c[done] for c in row)
+                    yield from in_slices(spans_batch(k, tag, start, n, np.full(len(k), CLOSED), np.zeros(len(k))))
+                if not done.all():
+                    got.append([c[~done] for c in row])
         if not got:
             return
         anchor, run_, k, tag, start, n, state = (np.concatenate(c) for c in zip(*got, strict=True))
         del got
-        done = state == 0
-        if done.any():
-            yield from in_slices(spans_batch(k[done], tag[done], start[done], n[done], np.full(done.sum(), CLOSED), np.zeros(done.sum())))
-            anchor, run_, k, tag, start, n, state = (c[~done] for c in (anchor, run_, k, tag, start, n, state))
         order, closed, first, by_run, by_anchor, _ = settle(anchor, run_, k, start, state.astype(float), spec.any_place)
         anchor, run_, k, tag, start, n = (c[order] for c in (anchor, run_, k, tag, start, n))
         # runs of an anchor that has several are open; at a bucket's border the anchor may go on in the next one
