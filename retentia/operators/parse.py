@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 SEPARATOR = "\u001f"
 #: What stands for no retention time.
-MISSING_NUMBERS = ["", "na", "n/a", "nan", "-", "--", "none", "null", ".", "#n/a"]
+MISSING_NUMBERS = ["", "na", "n/a", "nan", "-", "--", "none", "null", ".", "#n/a", "#na"]
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,11 @@ class SheetOptions:
         return self.fields or len(self.delimiters) or max([self.time_index, *self.counts.values()]) + 1
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value evaluated a single time however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number(c: Column) -> Column:
     """Text as a double; null where it isn't a plain number."""
     t = F.trim(c)
@@ -41,7 +46,12 @@ def number(c: Column) -> Column:
 
 
 def split_items(cell: Column, delimiters: tuple[str, ...]) -> Column:
-    """Splits by one delimiter after another, trims, drops empty items: a flat array of text."""
+    """Splits by one delimiter after another, trims, drops empty items: a flat array of text.
+
+    Delimiters of one character can't overlap, so one pass over the cell gives the same items."""
+    if all(len(d) == 1 for d in delimiters):
+        marks = "".join(f"\\{d}" if not d.isalnum() else d for d in delimiters)
+        return F.array_remove(F.split(F.trim(cell), f" *[{marks}][ {marks}]*"), "")
 
     def split_all(items: Column, pattern: str) -> Column:
         pieces = F.flatten(F.transform(items, lambda x: F.split(x, pattern)))
@@ -52,9 +62,13 @@ def split_items(cell: Column, delimiters: tuple[str, ...]) -> Column:
 
 def group_items(items: Column, k: int) -> Column:
     """Consecutive groups of k items; null where the items don't divide."""
-    n = F.size(items)
-    groups = F.transform(F.sequence(F.lit(0), (n / k).cast("int") - 1), lambda i: F.slice(items, i * k + 1, k))
-    return F.when((n > 0) & (n % k == 0), groups)
+
+    def grouped(x: Column) -> Column:
+        n = F.size(x)
+        groups = F.transform(F.sequence(F.lit(0), (n / k).cast("int") - 1), lambda i: F.slice(x, i * k + 1, k))
+        return F.when((n > 0) & (n % k == 0), groups)
+
+    return once(items, grouped)
 
 
 def storage_id(primary: Column, variant: Column | None) -> Column:
@@ -91,12 +105,18 @@ def clean_points(groups: Column, options: SheetOptions) -> Column:
 
 
 def ingested(df: DataFrame, options: SheetOptions) -> DataFrame:
-    """Every row with its identity, parsed points and reject_reason (of identity, parsing or cleaning)."""
-    rows = identified(df, options).withColumn("items", split_items(F.col(options.cell), options.delimiters))
-    rows = rows.withColumn("groups", group_items(F.col("items"), options.fields_per_point))
-    rows = rows.withColumn("points", clean_points(F.col("groups"), options))
-    late = F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.col("groups").isNull(), "not_divisible").when(F.size("points") == 0, "no_valid_points")
-    return rows.withColumn("reject_reason", late)
+    """Every row with its identity, parsed points and reject_reason (of identity, parsing or cleaning).
+
+    What is parsed comes out of a generator, and filters don't move below one: a condition on it would else be written in
+    terms of the cell, and the cell split again for each mention."""
+    rows = identified(df, options).withColumn("_items", split_items(F.col(options.cell), options.delimiters))
+    rows = rows.withColumn("_groups", group_items(F.col("_items"), options.fields_per_point))
+    rows = rows.withColumn("_points", clean_points(F.col("_groups"), options))
+    late = F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(F.col("_groups").isNull(), "not_divisible").when(F.size("_points") == 0, "no_valid_points")
+    parsed = F.struct(F.col("_items").alias("items"), F.col("_groups").alias("groups"), F.col("_points").alias("points"), late.alias("reject_reason"))
+    rows = rows.withColumn("_parsed", parsed)
+    kept = [c for c in rows.columns if c != "reject_reason" and not c.startswith("_")]
+    return rows.select(*kept, F.inline(F.array("_parsed")))
 
 
 def good(rows: DataFrame) -> DataFrame:

@@ -5,20 +5,33 @@ Each base frame has a SQL form of the same name in CTES, so that a query and its
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL = "AgxNull"
+LEAST_BLOCKS = 4
+#: Blocks at the last position, whose keys are line numbers.
+LAST_BLOCKS = 5
+#: Places of a tuple's block numbers in rt_rows' row_no; odd, and above any number of blocks.
+STRIDE = 10_007
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def block(key) -> F.Column:
-    """A building block's name from a key: every fifth is the null token."""
-    n = F.pmod(key, F.lit(5))
-    return F.when(n == 0, NULL).otherwise(F.concat(F.lit("B"), n.cast("string")))
+def blocks(spark: SparkSession, sf_dir: str) -> int:
+    """Blocks (with the null token) at a library's first two positions: the root of the suppliers, so that tuples grow with
+    `lineitem` and their traces stay as dense. A count of rows, read from file footers."""
+    return max(LEAST_BLOCKS, math.ceil(math.sqrt(table(spark, sf_dir, "supplier").count())))
+
+
+def block(key, n: int) -> F.Column:
+    """A building block's name from a key: every n-th is the null token."""
+    left = F.pmod(key, F.lit(n))
+    return F.when(left == 0, NULL).otherwise(F.concat(F.lit("B"), left.cast("string")))
 
 
 def months(ts) -> F.Column:
@@ -28,7 +41,8 @@ def months(ts) -> F.Column:
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bb1, bb2, bb3, compound_id, time, count, scaled: a trace for each tuple of blocks."""
     t = table(spark, sf_dir, "lineitem")
-    keys = [block(F.col("l_partkey")).alias("bb1"), block(F.col("l_suppkey")).alias("bb2"), block(F.col("l_linenumber").cast("long")).alias("bb3")]
+    n = blocks(spark, sf_dir)
+    keys = [block(F.col("l_partkey"), n).alias("bb1"), block(F.col("l_suppkey"), n).alias("bb2"), block(F.col("l_linenumber").cast("long"), LAST_BLOCKS).alias("bb3")]
     out = t.groupBy(*keys, months(F.col("l_shipdate")).alias("time")).agg(F.count("*").cast("double").alias("count"), F.sum("l_quantity").alias("scaled"))
     return out.select(F.concat_ws("|", "bb1", "bb2", "bb3").alias("compound_id"), "bb1", "bb2", "bb3", "time", "count", "scaled")
 
@@ -53,16 +67,16 @@ def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.agg(F.count("*").alias("c"), F.sum("l_quantity").cast("int").alias("s"))
     item = F.struct("m", F.concat(F.col("m").cast("string"), F.lit(":"), F.col("c").cast("string"), F.lit(";"), F.col("s").cast("string")).alias("x"))
     cells = t.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.x), ", ").alias("cell"))
-    p = F.col("l_partkey")
+    p, n = F.col("l_partkey"), blocks(spark, sf_dir)
     extra = F.when(p % 23 == 7, ", 7:x;1").when(p % 29 == 11, ", -3:4;5").when(p % 31 == 13, ", 9:-2;5").when(p % 37 == 1, ", 5").when(p % 41 == 2, ", bad:1;2").otherwise("")
     return cells.select(
         p.alias("row_no"),
         F.when(p % 19 != 5, F.concat(F.lit("C"), (p % 1000).cast("string"))).alias("id"),
         F.when(p % 3 == 0, "linear").when(p % 3 == 1, "cyclic").otherwise(" ").alias("variant"),
         F.when(p % 17 == 3, "  ").otherwise(F.concat("cell", extra)).alias("cell"),
-        block(p).alias("bb1"),
-        block(F.floor(p / 5)).alias("bb2"),
-        block(F.floor(p / 25)).alias("bb3"),
+        block(p, n).alias("bb1"),
+        block(F.floor(p / n), n).alias("bb2"),
+        block(F.floor(p / (n * n)), LAST_BLOCKS).alias("bb3"),
         F.when(p % 11 == 4, "n/a").when(p % 13 == 6, "").otherwise((p * 2 % 700).cast("string")).alias("mass"),
         F.when(p % 7 != 2, F.concat(F.lit("2020-"), F.lpad((p % 12 + 1).cast("string"), 2, "0"), F.lit("-15"))).alias("run_date"),
     )
@@ -76,11 +90,14 @@ def rt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_no, bb1..bb3 (C to N), rt: a retention time for each tuple, its month of most counts, earliest on ties."""
     t = library(spark, sf_dir).groupBy("bb1", "bb2", "bb3").agg(F.min_by("time", F.struct(-F.col("count"), F.col("time"))).alias("rt"))
     k = lambda c: F.when(F.col(c) == NULL, 0).otherwise(F.substring(c, 2, 9).cast("int"))
-    return t.select((k("bb1") * 25 + k("bb2") * 5 + k("bb3")).cast("long").alias("row_no"), "bb1", "bb2", "bb3", "rt")
+    return t.select(((k("bb1").cast("long") * STRIDE + k("bb2")) * STRIDE + k("bb3")).alias("row_no"), "bb1", "bb2", "bb3", "rt")
+
+
+_BLOCKS = f"(SELECT CAST(greatest({LEAST_BLOCKS}, ceil(sqrt(count(*)))) AS BIGINT) FROM supplier)"
 
 
-def _block(k: str) -> str:
-    return f"CASE WHEN ({k}) % 5 = 0 THEN 'AgxNull' ELSE 'B' || (({k}) % 5) END"
+def _block(k: str, n: str = "n") -> str:
+    return f"CASE WHEN ({k}) % {n} = 0 THEN 'AgxNull' ELSE 'B' || (({k}) % {n}) END"
 
 
 _MONTH = "((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)"
@@ -88,8 +105,8 @@ _DIGIT = lambda c: f"CASE WHEN {c} = 'AgxNull' THEN 0 ELSE CAST(substr({c}, 2) A
 
 CTES = {
     "library": f"""library AS (SELECT bb1 || '|' || bb2 || '|' || bb3 AS compound_id, * FROM (
-      SELECT {_block("l_partkey")} AS bb1, {_block("l_suppkey")} AS bb2, {_block("l_linenumber")} AS bb3, CAST({_MONTH} AS DOUBLE) AS time,
-             CAST(count(*) AS DOUBLE) AS count, CAST(sum(l_quantity) AS DOUBLE) AS scaled FROM lineitem GROUP BY 1, 2, 3, 4))""",
+      SELECT {_block("l_partkey")} AS bb1, {_block("l_suppkey")} AS bb2, {_block("l_linenumber", str(LAST_BLOCKS))} AS bb3, CAST({_MONTH} AS DOUBLE) AS time,
+             CAST(count(*) AS DOUBLE) AS count, CAST(sum(l_quantity) AS DOUBLE) AS scaled FROM lineitem, (SELECT {_BLOCKS} AS n) GROUP BY 1, 2, 3, 4))""",
     "points": """points AS (SELECT compound_id, 'Count' AS channel, time, count FROM library
       UNION ALL SELECT compound_id, 'Scaled', time, scaled FROM library)""",
     "parts": f"""parts0 AS (SELECT 'P' || l_partkey AS compound_id, CAST({_MONTH} AS DOUBLE) AS time, CAST(count(*) AS DOUBLE) AS c,
@@ -99,12 +116,12 @@ CTES = {
         CASE WHEN p % 3 = 0 THEN 'linear' WHEN p % 3 = 1 THEN 'cyclic' ELSE ' ' END AS variant,
         CASE WHEN p % 17 = 3 THEN '  ' ELSE cell || CASE WHEN p % 23 = 7 THEN ', 7:x;1' WHEN p % 29 = 11 THEN ', -3:4;5'
           WHEN p % 31 = 13 THEN ', 9:-2;5' WHEN p % 37 = 1 THEN ', 5' WHEN p % 41 = 2 THEN ', bad:1;2' ELSE '' END END AS cell,
-        {_block("p")} AS bb1, {_block("p // 5")} AS bb2, {_block("p // 25")} AS bb3,
+        {_block("p")} AS bb1, {_block("p // n")} AS bb2, {_block("p // (n * n)", str(LAST_BLOCKS))} AS bb3,
         CASE WHEN p % 11 = 4 THEN 'n/a' WHEN p % 13 = 6 THEN '' ELSE CAST(p * 2 % 700 AS VARCHAR) END AS mass,
         CASE WHEN p % 7 <> 2 THEN '2020-' || lpad(CAST(p % 12 + 1 AS VARCHAR), 2, '0') || '-15' END AS run_date
       FROM (SELECT l_partkey AS p, string_agg(m || ':' || c || ';' || s, ', ' ORDER BY m) AS cell FROM (
-        SELECT l_partkey, {_MONTH} AS m, count(*) AS c, CAST(sum(l_quantity) AS INTEGER) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1))""",
-    "rt_rows": f"""rt_rows AS (SELECT CAST({_DIGIT("bb1")} * 25 + {_DIGIT("bb2")} * 5 + {_DIGIT("bb3")} AS BIGINT) AS row_no, bb1, bb2, bb3, time AS rt
+        SELECT l_partkey, {_MONTH} AS m, count(*) AS c, CAST(sum(l_quantity) AS INTEGER) AS s FROM lineitem GROUP BY 1, 2) GROUP BY 1), (SELECT {_BLOCKS} AS n))""",
+    "rt_rows": f"""rt_rows AS (SELECT CAST((CAST({_DIGIT("bb1")} AS BIGINT) * {STRIDE} + {_DIGIT("bb2")}) * {STRIDE} + {_DIGIT("bb3")} AS BIGINT) AS row_no, bb1, bb2, bb3, time AS rt
       FROM (SELECT *, row_number() OVER (PARTITION BY bb1, bb2, bb3 ORDER BY count DESC, time) AS n FROM library) WHERE n = 1)""",
 }
 _NEEDS = {"points": ["library"], "rt_rows": ["library"]}
