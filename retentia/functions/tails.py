@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -79,13 +81,42 @@ def normal_upper_tail(z: float) -> float:
     return min(1.0, max(0.0, 0.5 * math.erfc(z / math.sqrt(2))))
 
 
-@F.pandas_udf(DoubleType())
-def count_tail(k: pd.Series, mu: pd.Series, r: pd.Series) -> pd.Series:
-    """Column form of p_at_least; a null or NaN r means Poisson, a null k or mu gives null."""
-    none = lambda v: v is None or v != v
-    return pd.Series([None if none(a) or none(b) else p_at_least(a, b, None if none(c) else c) for a, b, c in zip(k, mu, r, strict=True)], dtype="float64")
+def tails_at_least(k: np.ndarray, mu: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """p_at_least for arrays; NaN in k or mu gives NaN, NaN in r means Poisson. Equal arguments are worked out once: counts
+    are whole numbers over few baselines."""
+    out = np.full(len(k), np.nan)
+    known = ~(np.isnan(k) | np.isnan(mu))
+    if known.any():
+        rows, back = np.unique(np.stack([k[known], mu[known], np.nan_to_num(r[known], nan=-1.0)], 1), axis=0, return_inverse=True)
+        out[known] = np.array([p_at_least(a, b, c if c >= 0 else None) for a, b, c in rows.tolist()])[back.ravel()]
+    return out
 
 
 @F.pandas_udf(DoubleType())
-def normal_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: normal_upper_tail(v) if v == v else np.nan)
+def count_tail(k: pd.Series, mu: pd.Series, r: pd.Series) -> pd.Series:
+    """Column form of p_at_least; a null or NaN r means Poisson, a null k or mu gives null."""
+    out = tails_at_least(*(v.to_numpy(float, na_value=np.nan) for v in (k, mu, r)))
+    return pd.Series(out).where(~np.isnan(out), None)
+
+
+#: Numerators and denominators of the rational Chebyshev forms of erfc, for arguments up to 4 and beyond
+#: (W. J. Cody, 1969), from the highest power.
+ERF_P = (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+ERF_Q = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+ERFC_P = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3)
+ERFC_Q = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+FAR_P = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+FAR_Q = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z >= z) of the standard normal, in column arithmetic."""
+    poly = lambda c, x: reduce(lambda a, b: a * x + F.lit(b), c[1:], F.lit(c[0]))
+    x = F.abs(z) / math.sqrt(2)
+    square = x * x
+    near = 1 - x * poly(ERF_P, square) / poly(ERF_Q, square)
+    middle = F.exp(-square) * poly(ERFC_P, x) / poly(ERFC_Q, x)
+    inverse = 1 / square
+    far = F.exp(-square) / x * (1 / math.sqrt(math.pi) - inverse * poly(FAR_P, inverse) / poly(FAR_Q, inverse))
+    upper = 0.5 * F.when(x <= 0.46875, near).when(x <= 4, middle).otherwise(far)
+    return F.when(z.isNull() | F.isnan(z), z).when(z >= 0, upper).otherwise(1 - upper)

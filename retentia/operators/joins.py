@@ -48,7 +48,7 @@ def nearest_assignment(peaks: DataFrame, assignments: DataFrame, tolerance: floa
     """peaks: compound_id, rt; assignments: compound_id, a_rt, tier, label. Each peak's nearest assignment within the
     tolerance, the higher tier on ties; 'unknown' where there is none."""
     keys = ["compound_id", "rt"]
-    close = peaks.join(assignments, "compound_id").where(F.abs(F.col("rt") - F.col("a_rt")) <= tolerance)
+    close = peaks.select(*keys).distinct().join(assignments, "compound_id").where(F.abs(F.col("rt") - F.col("a_rt")) <= tolerance)
     best = close.groupBy(*keys).agg(F.min_by("label", F.struct(F.abs(F.col("rt") - F.col("a_rt")), -F.col("tier"), F.col("label"))).alias("label"))
     return peaks.join(best, keys, "left").withColumn("label", F.coalesce("label", F.lit("unknown")))
 
@@ -96,9 +96,10 @@ def isoform_delta(rows: DataFrame, linear: str, cyclic: str) -> DataFrame:
 def broadest_agreement(peaks: DataFrame, tolerance: float) -> DataFrame:
     """peaks: cls, compound_id, rt. Per class the time near which most replicates have a peak (earliest on ties), and each
     replicate's nearest peak to it."""
-    places = peaks.select("cls", F.col("rt").alias("pos")).distinct()
+    cell = F.floor(F.col("rt") / tolerance)  # what is within the tolerance lies in the same cell or a neighbour
+    places = peaks.select("cls", F.col("rt").alias("pos"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
     near = lambda c: F.abs(F.col("rt") - F.col(c)) <= tolerance
-    support = places.join(peaks, "cls").where(near("pos")).groupBy("cls", "pos").agg(F.count_distinct("compound_id").alias("n"))
+    support = places.join(peaks.withColumn("cell", cell), ["cls", "cell"]).where(near("pos")).groupBy("cls", "pos").agg(F.count_distinct("compound_id").alias("n"))
     center = support.groupBy("cls").agg(F.min_by("pos", F.struct(-F.col("n"), F.col("pos"))).alias("center"))
     best = F.min_by(F.when(near("center"), F.col("rt")), F.struct(~near("center"), F.abs(F.col("rt") - F.col("center")), F.col("rt")))
     return peaks.join(center, "cls").groupBy("cls", "center", "compound_id").agg(best.alias("pick"))

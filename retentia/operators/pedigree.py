@@ -12,18 +12,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signal as G
+from ..functions import tails
 from ..functions import tokens as K
-from ..sources.sheets import shared_dir, stored_table
+from ..sources.sheets import discard, shared_dir, stored_table
 from . import joins as J
 from .splittree import BBS
 
+#: Fixed names: what is known of a node once it was evaluated.
 OUTCOME = (
     "node_id string, passed boolean, insufficient_data boolean, effective_threshold double, score_test_rt double, score_test_rt_se double, "
     "score_test_p_value double, bayesian_pick double, bayesian_pick_posterior double, bayesian_pick_runner_up_posterior double, "
     "bayesian_pick_threshold_margin double, initial_democratic_position double, initial_earliest_picks array<double>, "
     "initial_most_significant_picks array<double>, initial_democratic_picks array<double>, per_rep_score_contribution array<double>, "
     "bayesian_refined_picks array<double>, bayesian_supporting_replicates array<int>, replicates_with_no_signal array<int>, n_replicates int, "
-    "n_replicates_with_signal int, chosen_rt double"
+    "n_replicates_with_signal int, chosen_rt double, display_rt double"
 )
 FIELDS = [f.strip().split(" ")[0] for f in OUTCOME.split(", ")]
 
@@ -71,7 +73,9 @@ def replicates(members_: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def _as_row(node_id: str, o: dict) -> dict:
-    o = {"node_id": node_id, **o, "chosen_rt": G.chosen_rt(o)}
+    chosen = G.chosen_rt(o)
+    shown = chosen if chosen is not None else next((v for v in o["initial_most_significant_picks"] if v is not None), None)
+    o = {"node_id": node_id, **o, "chosen_rt": chosen, "display_rt": shown}
     return {f: o.get(f) for f in FIELDS}
 
 
@@ -113,27 +117,31 @@ def root_outcome(find):
 def evaluate(members_: DataFrame, traces: DataFrame, tolerance: float, find, alpha: float = 0.001, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """Outcomes (OUTCOME) of all nodes that aren't pruned. traces: key, rt, y.
 
-    Rounds: the root, single blocks, cassettes, then tier by tier, N + 2 at most. Each round's nodes are gated by their
-    parents before any trace is joined, so pruned nodes move no data, and its outcomes are written to the shared folder."""
+    Rounds: the root, single blocks, cassettes (where there are any), then tier by tier, N + 2 at most. Members, edges and
+    traces are stored once. Each round's nodes are gated by their parents before any trace is joined, so pruned nodes move
+    no data, and its outcomes are written to the shared folder."""
     spark = members_.sparkSession
     folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     members_ = stored_table(members_, f"{folder}-members")
+    traces = stored_table(traces.select("key", "rt", "y"), f"{folder}-traces")
     every = nodes(members_)
     links = stored_table(edges(every), f"{folder}-edges")
-    top = every.agg(F.max("tier").alias("t")).first()["t"] or 0
+    cassette = F.exists("class", K.is_cassette)
+    seen = every.agg(F.max("tier").alias("top"), F.coalesce(F.max((F.col("tier") == 1) & cassette), F.lit(False)).alias("cassettes")).first()
     root = replicates(members_.where("tier = 0"), traces).groupBy("node_id").applyInPandas(root_outcome(find), OUTCOME)
     outcomes = stored_table(root, f"{folder}-0")
-    cassette = F.exists("class", K.is_cassette)
-    rounds = [(1, ~cassette), (1, cassette), *((t, F.lit(True)) for t in range(2, top + 1))]
+    rounds = [(1, ~cassette), *([(1, cassette)] if seen["cassettes"] else []), *((t, F.lit(True)) for t in range(2, (seen["top"] or 0) + 1))]
     for i, (tier, which) in enumerate(rounds, 1):
         wanted = every.where((F.col("tier") == tier) & which)
         gate = J.parent_gate(links.join(wanted.select(F.col("node_id").alias("child_id")), "child_id"), outcomes)
-        if i > 1:  # single blocks are known
+        if i > 1 and seen["cassettes"]:  # single blocks are known
             singles = every.where((F.col("tier") == 1) & ~cassette).join(outcomes.where("passed and chosen_rt is not null"), "node_id").select(F.col("class")[0].alias("component"), F.col("chosen_rt").alias("rt"))
             gate = J.raise_for_cassettes(gate, wanted.where("kind = 'class'"), singles)
         gated = replicates(members_.join(gate, "node_id"), traces)
         found = gated.groupBy("node_id").applyInPandas(class_consensus(tolerance, find, alpha, min_prominence, min_pct_area), OUTCOME)
         outcomes = outcomes.unionByName(stored_table(found, f"{folder}-{i}"))
+    for name in ("members", "traces", "edges"):  # outcomes stand on their own
+        discard(spark, f"{folder}-{name}")
     return outcomes
 
 
@@ -148,21 +156,58 @@ def joint_scores(points: DataFrame, sigma: float) -> DataFrame:
     return p.groupBy("cls", "at").agg(F.sum(phi * (F.col("count") - F.col("m")) / F.col("v")).alias("u"), F.sum(phi * phi / F.col("v")).alias("info"))
 
 
-FITS = "cls string, position double, u double, info double, z double, p_value double, n_replicates int"
-
-
-def positions_fit(replicates_: DataFrame, sigma: float, low: float) -> DataFrame:
-    """cls, ord, rt, y -> the best common position of each class past `low`."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        live = [(rt, y) for rt, y in _traces(rows) if len(rt)]
-        high = max((float(rt[-1]) for rt, _ in live), default=low)
-        if high <= low:
-            return pd.DataFrame(columns=[f.split()[0] for f in FITS.split(", ")])
-        found = G.fit_position(live, [G.clipped_baseline(y) for _, y in live], sigma, low, high, G.GRID_MOST)
-        return pd.DataFrame([(rows["cls"].iloc[0], *found[:5], len(live))], columns=[f.split()[0] for f in FITS.split(", ")])
-
-    return replicates_.groupBy("cls").applyInPandas(run, FITS)
+def positions_fit(replicates_: DataFrame, baselines: DataFrame, sigma: float, low: float) -> DataFrame:
+    """The best common position of each class past `low`: cls, position, u, info, z, p_value, n_replicates.
+
+    replicates_: cls, key, rt, y; baselines: key, mu, r. Scores are grouped sums over a grid, half as fine as the samples
+    lie (0.01 to 0.1), so a class may be of any size; a parabola through the best place and its neighbours is kept where
+    the score at its top, from the points near it, is higher."""
+    spark = replicates_.sparkSession
+    half = F.when(F.size("rt") > 1, F.abs(F.get("rt", F.lit(1)) - F.get("rt", F.lit(0))) / 2)
+    live = replicates_.where(F.size("rt") > 0)
+    ends = live.groupBy("cls").agg(F.max(F.element_at("rt", -1)).alias("high"), F.min(half).alias("half"), F.count("*").alias("n_replicates"))
+    step = F.greatest(F.least(F.coalesce("half", F.lit(G.GRID_MOST)), F.lit(G.GRID_MOST)), F.lit(G.GRID_LEAST))
+    fits = lambda k: F.lit(low) + F.col("step") * k <= F.col("high")
+    last = F.floor((F.col("high") - low) / F.col("step")).cast("int")  # and exactly, whichever way the quotient was rounded
+    last = F.when(fits(last + 1), last + 1).when(fits(last), last).otherwise(last - 1)
+    ends = ends.where(F.col("high") > low).withColumn("step", step).withColumn("last", last)
+    mu = F.greatest("mu", F.lit(G.MU_FLOOR))
+    var = mu + mu * mu / F.coalesce("r", F.lit(G.NO_DISPERSION))
+    points = live.join(baselines, "key").select("cls", mu.alias("m"), var.alias("v"), F.explode(F.arrays_zip("rt", "y")).alias("p"))
+    points = points.select("cls", F.col("p.rt").alias("t"), ((F.col("p.y") - F.col("m")) / F.col("v")).alias("a"), (1 / F.col("v")).alias("b"))
+    points = stored_table(points.join(ends, "cls"), f"{shared_dir(spark)}/{uuid.uuid4().hex}-points")
+
+    def score(places: DataFrame) -> DataFrame:
+        """places: points with `at`; u and info by class and `k`."""
+        phi = F.exp(-F.pow(F.col("t") - F.col("at"), 2) / (2 * sigma * sigma))
+        near = F.abs(F.col("t") - F.col("at")) <= 4 * sigma
+        return places.where(near).groupBy("cls", "k").agg(F.sum(phi * F.col("a")).alias("u"), F.sum(phi * phi * F.col("b")).alias("info"))
+
+    # places 0 .. last on the grid, and one more at `high` itself, the last place's neighbour
+    place = lambda k: F.when(k > F.col("last"), F.col("high")).otherwise(F.lit(low) + F.col("step") * k)
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - 4 * sigma - low) / F.col("step")).cast("int") - 1)
+    until = F.least(F.col("last"), F.floor((F.col("t") + 4 * sigma - low) / F.col("step")).cast("int") + 1)
+    reach = F.concat(F.when(until >= first, F.sequence(first, until)).otherwise(F.array().cast("array<int>")), F.when(F.col("t") >= F.col("high") - 4 * sigma, F.array(F.col("last") + 1)).otherwise(F.array().cast("array<int>")))
+    grid = score(points.withColumn("k", F.explode(reach)).withColumn("at", place(F.col("k"))))
+    every = ends.select("cls", "last", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("k"))
+    grid = every.join(grid, ["cls", "k"], "left").na.fill(0.0, ["u", "info"])
+    grid = stored_table(grid, f"{shared_dir(spark)}/{uuid.uuid4().hex}-grid")
+    best = grid.where("k <= last").groupBy("cls").agg(F.max_by(F.struct("k", "u", "info"), F.struct("u", -F.col("k"))).alias("b")).select("cls", F.col("b.k").alias("k"), "b.u", "b.info")
+    side = lambda shift, name: grid.select("cls", (F.col("k") - shift).alias("k"), F.col("u").alias(name))
+    best = best.join(side(-1, "left_u"), ["cls", "k"], "left").join(side(1, "right_u"), ["cls", "k"], "left").join(ends, "cls")
+    at = place(F.col("k"))
+    bend = F.col("left_u") - 2 * F.col("u") + F.col("right_u")
+    shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("left_u") - F.col("right_u")) / bend))
+    inner = (F.col("k") > 0) & (at < F.col("high")) & (bend < -1e-12)
+    best = best.select("cls", "u", "info", "n_replicates", at.alias("grid_at"), F.when(inner, at + shift * F.col("step")).alias("at"))
+    top = score(points.join(best.select("cls", "at"), "cls").withColumn("k", F.lit(0))).select("cls", F.col("u").alias("top_u"), F.col("info").alias("top_info"))
+    out = best.join(top, "cls", "left")
+    better = F.coalesce(F.col("top_u") > F.col("u"), F.lit(False))
+    pick = lambda a, b: F.when(better, F.col(a)).otherwise(F.col(b))
+    out = out.select("cls", pick("at", "grid_at").alias("position"), pick("top_u", "u").alias("u"), pick("top_info", "info").alias("info"), "n_replicates")
+    z = F.when(F.col("info") > 0, F.col("u") / F.sqrt("info")).otherwise(0.0)
+    p = F.when(z > 0, tails.normal_tail(z)).otherwise(0.5)
+    return out.select("cls", "position", "u", "info", z.alias("z"), p.alias("p_value"), "n_replicates")
 
 
 def node_status(passed: Column, insufficient: Column, tier: Column, kind: Column) -> Column:
@@ -176,14 +221,21 @@ def visible(nodes_: DataFrame, outcomes: DataFrame, most_tier: int, include_fail
     return shown if include_failed else shown.where("passed")
 
 
-def product_prominence(nodes_: DataFrame, outcomes: DataFrame, traces: DataFrame) -> DataFrame:
-    """node_id, chosen_rt, prominence of compounds that passed; traces: key, rt, y."""
+def product_prominence(nodes_: DataFrame, outcomes: DataFrame, compounds: DataFrame, traces: DataFrame, unit: str = "seconds", stored_unit: str = "seconds") -> DataFrame:
+    """compound_id, node_id, chosen_rt (in `unit`), prominence of compounds that passed.
+
+    A node's compound is sought by its shown name, then its storage id, then its primary id (compounds: compound_id, shown,
+    primary_id); the chosen time is turned into the traces' unit before their nearest sample is taken. traces:
+    compound_id, channel, rt, y."""
+    from .parse import in_unit
     from .traces import prominence_at
 
     good = nodes_.where("kind = 'compound'").join(outcomes.where("passed and chosen_rt is not null").select("node_id", "chosen_rt"), "node_id")
-    wanted = good.select(F.array_join("class", "|").alias("compound_id"), "node_id", "chosen_rt")
-    found = prominence_at(traces.select(F.col("key").alias("compound_id"), F.lit("Count").alias("channel"), "rt", "y"), wanted.select("compound_id", "chosen_rt"))
-    return wanted.select("compound_id", "node_id").join(found.select("compound_id", "chosen_rt", "prominence"), "compound_id")
+    good = good.select("node_id", F.array_join("class", "-").alias("label"), F.col("chosen_rt").alias("own_rt"))
+    matched = J.match_by_keys(good.select("node_id", "label"), compounds, ["shown", "compound_id", "primary_id"]).select("node_id", "compound_id")
+    wanted = good.join(matched, "node_id").select("compound_id", "node_id", "own_rt", in_unit(F.col("own_rt"), unit, stored_unit).alias("chosen_rt"))
+    found = prominence_at(traces, wanted.select("compound_id", "chosen_rt").distinct())
+    return wanted.join(found, ["compound_id", "chosen_rt"]).select("compound_id", "node_id", F.col("own_rt").alias("chosen_rt"), "prominence")
 
 
 def prominence_summary(nodes_: DataFrame, prominence: DataFrame) -> DataFrame:
@@ -206,15 +258,100 @@ def ancestors(rows: DataFrame, columns: list[str] = BBS) -> DataFrame:
     return c.select(*columns, F.explode(F.array_distinct(F.concat(ids, own))).alias("node_id"))
 
 
-def lineage(ancestors_: DataFrame, nodes_: DataFrame, outcomes: DataFrame, members_: DataFrame) -> DataFrame:
-    """A panel for each compound and ancestor that was evaluated."""
-    sizes = members_.groupBy("node_id").agg(F.count("*").alias("n_members"))
-    o = outcomes.select("node_id", "passed", "effective_threshold", "chosen_rt", "n_replicates_with_signal")
-    return ancestors_.join(nodes_.select("node_id", "kind", "tier", F.array_join("class", "-").alias("label")), "node_id").join(sizes, "node_id").join(o, "node_id")
+def node_table(members_: DataFrame, outcomes: DataFrame, channel: str, alpha: float, tolerance: float, unit: str, isoform: str = "All", columns: list[str] = BBS) -> DataFrame:
+    """A row for every node, pruned ones too (evaluated = 0): what was found, its members, its own blocks by cycle (the
+    first cycle is the C terminus) and the settings."""
+    n = len(columns)
+    listed = members_.groupBy("node_id", "kind", "tier").agg(F.first("class").alias("class"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: F.replace(x["key"], F.lit("|"), F.lit("-"))), "|").alias("members"))
+    o = listed.join(outcomes.withColumn("evaluated", F.lit(1)), "node_id", "left")
+    padded = K.padded(F.col("class"), n)
+    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
+    return o.select(
+        F.col("node_id").alias("id"),
+        F.array_join("class", "-").alias("label"),
+        "tier",
+        "kind",
+        flag("evaluated"),
+        flag("passed"),
+        flag("insufficient_data"),
+        "chosen_rt",
+        "effective_threshold",
+        "score_test_rt",
+        F.col("score_test_p_value").alias("score_test_p"),
+        "bayesian_pick",
+        F.col("bayesian_pick_posterior").alias("bayesian_posterior"),
+        flag("n_replicates"),
+        flag("n_replicates_with_signal"),
+        "members",
+        *(padded[n - i].alias(f"bb_cycle_{i}") for i in range(1, n + 1)),
+        F.lit(channel).alias("channel"),
+        F.lit(alpha).alias("alpha"),
+        F.lit(tolerance).alias("tolerance"),
+        F.lit(unit).alias("time_unit"),
+        F.lit(isoform).alias("isoform"),
+    )
+
+
+def lineage(ancestors_: DataFrame, members_: DataFrame, outcomes: DataFrame, columns: list[str] = BBS) -> DataFrame:
+    """A panel for each compound and ancestor that the pedigree has; `evaluated` is false for pruned ones."""
+    sizes = members_.groupBy("node_id").agg(F.first("kind").alias("kind"), F.first("tier").alias("tier"), F.first("class").alias("class"), F.count("*").cast("int").alias("n_replicates"))
+    o = outcomes.drop("n_replicates").withColumn("evaluated", F.lit(True))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    found = ancestors_.join(sizes, "node_id").join(o, "node_id", "left")
+    rest = [c for c in outcomes.columns if c not in ("node_id", "passed", "insufficient_data", "n_replicates", "n_replicates_with_signal")]
+    return found.select(*columns, "node_id", "kind", "tier", "class", "n_replicates", flag("evaluated"), flag("passed"), flag("insufficient_data"), F.coalesce("n_replicates_with_signal", F.lit(0)).alias("n_replicates_with_signal"), *rest)
+
+
+def lineage_table(panels: DataFrame, channel: str, alpha: float, tolerance: float, unit: str, columns: list[str] = BBS) -> DataFrame:
+    """The nineteen columns of a lineage file."""
+    return panels.select(
+        F.concat_ws("-", *columns).alias("compound_id"),
+        F.lit(channel).alias("channel"),
+        "tier",
+        F.array_join("class", "|").alias("class_bbs"),
+        "node_id",
+        "n_replicates",
+        *(F.col(c).cast("int").alias(c) for c in ("evaluated", "passed", "insufficient_data")),
+        "effective_threshold",
+        "score_test_rt",
+        "score_test_rt_se",
+        "score_test_p_value",
+        "bayesian_pick",
+        "bayesian_pick_posterior",
+        "n_replicates_with_signal",
+        F.lit(alpha).alias("alpha"),
+        F.lit(tolerance).alias("tolerance"),
+        F.lit(unit).alias("time_unit"),
+    )
+
+
+def lineage_failures(rows: DataFrame, nodes_: DataFrame, columns: list[str] = BBS) -> DataFrame:
+    """Rows without a lineage, with the reason: a position without a block, or no node of the pedigree."""
+    n = len(columns)
+    own = rows.select(*columns, K.node_id(n_to_c(columns), n).alias("node_id"))
+    found = own.join(nodes_.select("node_id", F.lit(True).alias("there")), "node_id", "left")
+    reason = F.when(~K.is_full(F.array(*columns), n), "no block at a position").when(F.col("there").isNull(), "not in the pedigree")
+    return found.withColumn("error", reason).where("error is not null").select(*columns, "error")
+
+
+#: Times by which peaks are named: the kernel's order, or the labels' own.
+CHOSEN = {"kernel": ("bayesian_pick", "score_test_rt"), "label": ("score_test_rt", "bayesian_pick")}
+
+
+def peak_labels(peaks: DataFrame, panels: DataFrame, tolerance: float, order: str = "kernel", min_prominence: float = 0.0, min_pct_area: float = 0.0, unit: str = "seconds", stored_unit: str = "seconds") -> DataFrame:
+    """What each peak is by its nearest ancestor, and then the peaks of enough prominence and share of the area, or that are
+    a null truncation.
 
+    peaks: compound_id, rt, prominence, pct_area, others kept; panels: compound_id, tier, class, kind and the outcome's
+    times, in `unit`; tolerance in `unit`."""
+    from .parse import in_unit
 
-def peak_labels(peaks: DataFrame, panels: DataFrame, tolerance: float) -> DataFrame:
-    """peaks: compound_id, rt; panels: compound_id, tier, label, kind, chosen_rt. What each peak is by its nearest ancestor."""
-    name = F.when(F.col("kind") == "compound", "product").when(F.col("tier") == 0, "root").otherwise(F.concat(F.lit("null truncation ("), "label", F.lit(")")))
-    a = panels.where(F.col("chosen_rt").isNotNull()).select("compound_id", F.col("chosen_rt").alias("a_rt"), "tier", name.alias("label"))
-    return J.nearest_assignment(peaks, a, tolerance)
+    name = F.array_join("class", "-")
+    said = F.when(F.col("kind") == "compound", F.concat(F.lit("intended product ("), name, F.lit(")"))).when(F.col("tier") == 0, "root (all null)").otherwise(F.concat(F.lit("null truncation ("), name, F.lit(")")))
+    pick = F.get(F.filter("initial_most_significant_picks", lambda x: x.isNotNull()), F.lit(0))
+    chosen = F.coalesce(*(F.col(c) for c in CHOSEN[order]), pick)
+    a = panels.select("compound_id", in_unit(chosen, unit, stored_unit).alias("a_rt"), "tier", said.alias("label")).where("a_rt is not null")
+    scale = {("seconds", "minutes"): 1 / 60, ("minutes", "seconds"): 60.0}.get((unit, stored_unit), 1.0)
+    labelled = J.nearest_assignment(peaks, a, tolerance * scale)
+    good = (F.col("prominence") >= min_prominence) & (F.col("pct_area") >= min_pct_area)
+    return labelled.where(good | F.col("label").startswith("null truncation"))

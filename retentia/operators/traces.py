@@ -36,7 +36,8 @@ def picker(kind: str = "modern", alpha: float = 0.001, options: G.GaussianOption
 
 
 def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
-    """The peaks of every trace of three points or more, numbered in order of time, with each one's share of the area."""
+    """The peaks of every trace of three points or more, numbered in order of time, with each one's share of the area of all
+    that were found; then only those of enough prominence and share."""
     find = picker(kind, alpha, options)
 
     def run(batches):
@@ -44,9 +45,9 @@ def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options:
             ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
             rows = []
             for i, peaks in enumerate(find([(rt, y) for _, rt, y in arrays(batch)])):
+                total = sum(p.area for p in peaks)
                 if kind == "modern":
                     peaks = G.keep_quality(peaks, min_prominence, min_pct_area, False)
-                total = sum(p.area for p in peaks)
                 for n, p in enumerate(peaks, 1):
                     rows.append((ids[i], channels[i], n, p.rt, p.intensity, p.area, p.prominence, p.p_value, 100 * p.area / total if total > 0 else 0.0, p.left_rt, p.right_rt))
             yield rows_batch(rows, PEAKS)

@@ -15,9 +15,10 @@ from . import library as L
 from .catalog import query
 from .q_aggregates import rounded
 from .q_ingest import folder
+from . import pedigree_sql as Q
 from .q_traces import BASE_SQL, TR
 
-TOLERANCE, ALPHA = 1.0, 0.05
+TOLERANCE, ALPHA = 1.0, 0.001
 
 
 def find(rt, y):
@@ -29,11 +30,13 @@ def members(spark, d):
 
 
 def node_traces(spark, d):
-    """key (positions N to C), rt, y of the Count channel, with a signal laid over it: the more blocks, the later."""
+    """key (positions N to C), rt, y of the Count channel, with a signal laid over it: the more blocks, the later. Some
+    blocks have none, and some come before their parents, so that classes fail and their children are pruned."""
     pts = L.points(spark, d).where("channel = 'Count'")
     blocks = F.filter(F.split("compound_id", r"\|"), lambda x: x != L.NULL)
-    weight = F.aggregate(F.transform(blocks, lambda x: F.substring(x, 2, 9).cast("int")), F.lit(0), lambda a, x: a + x)
-    center = 8 + 16 * F.size(blocks) + 2 * weight
+    pts = pts.withColumn("n", F.size(blocks)).withColumn("w", F.aggregate(F.transform(blocks, lambda x: F.substring(x, 2, 9).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x))
+    n, w = F.col("n"), F.col("w")
+    center = F.when((n == 0) | (w % 5 != 4), 6 + 18 * n + 2 * (w % 8) - F.when((n > 1) & (w % 7 == 6), 36).otherwise(0))
     away = F.abs(F.col("time") - center)
     tr = P.traces(pts.withColumn("count", F.col("count") * F.when(away == 0, 30).when(away == 1, 12).otherwise(1)))
     key = F.array_join(F.reverse(F.split("compound_id", r"\|")), "|")
@@ -46,11 +49,22 @@ def evaluated(spark, d):
     return m, D.evaluate(m, node_traces(spark, d), TOLERANCE, find, ALPHA)
 
 
+def shown(outcomes):
+    """Outcomes as plain columns: rounded numbers, and lists as text."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("-"))), " ").alias(c)
+    lists = [*Q.LISTS, "bayesian_supporting_replicates", "replicates_with_no_signal"]
+    total = F.aggregate(F.filter("per_rep_score_contribution", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    return outcomes.select(
+        "node_id", "passed", "insufficient_data", *(F.round(c, 5).alias(c) for c in Q.NUMBERS), *(text(c) for c in lists),
+        F.when(F.size("per_rep_score_contribution") > 0, F.round(total, 4)).alias("score_contribution"), "n_replicates", "n_replicates_with_signal",
+    )
+
+
 MEMBERS = """al AS (SELECT DISTINCT 0 AS i, bb3 AS b FROM rt_rows UNION SELECT 1, bb2 FROM rt_rows UNION SELECT 2, bb1 FROM rt_rows),
   ra AS (SELECT i, b, CASE WHEN b = 'AgxNull' THEN 1000000 ELSE row_number() OVER (PARTITION BY i ORDER BY b = 'AgxNull', b) END AS r FROM al),
-  pr AS (SELECT x.b AS p0, y.b AS p1, z.b AS p2, x.r AS r0, y.r AS r1, z.r AS r2, list_filter([x.b, y.b, z.b], lambda q: q <> 'AgxNull') AS c FROM ra x, ra y, ra z WHERE x.i = 0 AND y.i = 1 AND z.i = 2),
+  cells AS (SELECT x.b AS p0, y.b AS p1, z.b AS p2, x.r AS r0, y.r AS r1, z.r AS r2, list_filter([x.b, y.b, z.b], lambda q: q <> 'AgxNull') AS c FROM ra x, ra y, ra z WHERE x.i = 0 AND y.i = 1 AND z.i = 2),
   mb AS (SELECT CASE WHEN len(c) = 3 THEN 'F3_' || array_to_string(c, '_') WHEN len(c) = 0 THEN 'C0' ELSE 'C' || len(c) || '_' || array_to_string(c, '_') END AS node_id, CASE WHEN len(c) = 3 THEN 'compound' ELSE 'class' END AS kind,
-    CAST(len(c) AS INTEGER) AS tier, c, p0 || '|' || p1 || '|' || p2 AS key, r0, r1, r2 FROM pr),
+    CAST(len(c) AS INTEGER) AS tier, c, p0 || '|' || p1 || '|' || p2 AS key, r0, r1, r2 FROM cells),
   members AS (SELECT node_id, kind, tier, c, key, CAST(row_number() OVER (PARTITION BY node_id ORDER BY r0, r1, r2) - 1 AS INTEGER) AS ord FROM mb),
   nodes AS (SELECT node_id, kind, tier, c FROM members WHERE ord = 0),
   up AS (SELECT node_id AS child_id, unnest(list_transform(range(len(c)), lambda i: array_to_string(c[:i] || c[i + 2 :], '_'))) AS pk FROM nodes WHERE tier > 0),
@@ -113,42 +127,82 @@ def t09(spark, d):
     return rounded(D.joint_scores(named, TOLERANCE), "u", "info")
 
 
-@query("t10_position_fit")
+FIT = f"""{Q.base_sql(ALPHA)}, named AS (SELECT split_part(key, '|', 3) AS node_id, * FROM nt), cp0 AS (SELECT node_id, m, v, unnest(rt) AS t, unnest(y) AS yy FROM named), cp AS MATERIALIZED (SELECT node_id, t, (yy - m) / v AS a, 1 / v AS b FROM cp0),
+  cw AS (SELECT node_id, 5.0 AS low, max(rt[-1]) AS high, greatest(least(coalesce(min(abs(rt[2] - rt[1]) / 2) FILTER (len(rt) > 1), 0.1), 0.1), 0.01) AS step, count(*) AS n FROM named GROUP BY 1 HAVING max(rt[-1]) > 5.0), {Q.fit_sql("c", "cw", "cp", TOLERANCE)},
+  cz AS (SELECT node_id AS cls, position, u, info, CASE WHEN info > 0 THEN u / sqrt(info) ELSE 0.0 END AS z, n FROM cfit JOIN cw USING (node_id))"""
+
+
+@query("t10_position_fit", L.sql("points", f"{FIT} SELECT cls, round(position, 5) AS position, round(u, 5) AS u, round(info, 5) AS info, round(z, 5) AS z, round(CASE WHEN z > 0 THEN {Q.normal_tail_sql('z')} ELSE 0.5 END, 8) AS p_value, n AS n_replicates FROM cz"))
 def t10(spark, d):
-    r = node_traces(spark, d).withColumn("cls", F.split("key", r"\|")[2]).withColumn("ord", F.xxhash64("key"))
-    return D.positions_fit(r, TOLERANCE, 5.0)
+    r = node_traces(spark, d)
+    named = T.baselines(r.select(F.col("key").alias("compound_id"), F.lit("Count").alias("channel"), "rt", "y"))
+    base = named.select(F.col("compound_id").alias("key"), F.col("baseline_mu").alias("mu"), F.col("dispersion").alias("r"))
+    fits = D.positions_fit(r.withColumn("cls", F.split("key", r"\|")[2]), base, TOLERANCE, 5.0)
+    return rounded(rounded(fits, "position", "u", "info", "z", digits=5), "p_value", digits=8)
+
 
+PEDIGREE = f"{MEMBERS}, {Q.base_sql(ALPHA)}, {Q.pedigree_sql(TOLERANCE, ALPHA)}"
 
-@query("t11_bayesian_pick")
+
+def pedigree_sql(body: str) -> str:
+    return Q.stepwise(L.sql("rt_rows points", f"{PEDIGREE} {body}"))
+
+
+@query("t11_bayesian_pick", pedigree_sql("SELECT node_id, round(bayesian_pick, 5) AS bayesian_pick, round(bayesian_pick_posterior, 5) AS bayesian_pick_posterior, round(bayesian_pick_runner_up_posterior, 5) AS bayesian_pick_runner_up_posterior FROM oc WHERE bayesian_pick IS NOT NULL"))
 def t11(spark, d):
     _, o = evaluated(spark, d)
-    return o.where("bayesian_pick is not null").select("node_id", "bayesian_pick", "bayesian_pick_posterior", "bayesian_pick_runner_up_posterior")
+    found = o.where("bayesian_pick is not null").select("node_id", "bayesian_pick", "bayesian_pick_posterior", "bayesian_pick_runner_up_posterior")
+    return rounded(found, "bayesian_pick", "bayesian_pick_posterior", "bayesian_pick_runner_up_posterior", digits=5)
+
+
+def with_threshold(spark, d, nodes, threshold):
+    return D.replicates(members(spark, d).where(nodes), node_traces(spark, d)).withColumn("threshold", F.lit(threshold))
 
 
-def with_threshold(spark, d, threshold):
-    return D.replicates(members(spark, d).where("tier between 1 and 2"), node_traces(spark, d)).withColumn("threshold", F.lit(threshold))
+def consensus_at(nodes: str, threshold: float) -> str:
+    gate = f"gt AS (SELECT node_id, CAST({threshold} AS DOUBLE) AS threshold FROM nodes WHERE {nodes})"
+    return Q.stepwise(L.sql("rt_rows points", f"{MEMBERS}, {Q.base_sql(ALPHA)}, {gate}, {Q.consensus_sql('x', 'gt', TOLERANCE, ALPHA)} {Q.shown_sql('xoc')}"))
 
 
-@query("t12_class_consensus")
+@query("t12_class_consensus", consensus_at("tier > 0", 5.0))
 def t12(spark, d):
-    return with_threshold(spark, d, 5.0).groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME)
+    return shown(with_threshold(spark, d, "tier > 0", 5.0).groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME))
 
 
-@query("t13_pedigree_evaluation")
+@query("t13_pedigree_evaluation", pedigree_sql(Q.shown_sql("oc")))
 def t13(spark, d):
-    return evaluated(spark, d)[1]
+    return shown(evaluated(spark, d)[1])
 
 
-@query("t14_product_prominence")
+PRODUCTS = """pq AS (SELECT array_to_string(list_reverse(string_split(nt.key, '|')), '|') AS compound_id, node_id, chosen_rt, rt, y, list_sort(list_transform(range(1, len(rt) + 1), lambda i: struct_pack(d := abs(rt[i] - chosen_rt), i := i)))[1].i AS i
+    FROM oc JOIN nodes USING (node_id) JOIN members USING (node_id) JOIN nt ON nt.key = members.key WHERE nodes.kind = 'compound' AND passed AND chosen_rt IS NOT NULL AND len(rt) > 2),
+  pp AS (SELECT compound_id, node_id, chosen_rt, y[i] - greatest(least(y[i], coalesce(list_min(y[coalesce(list_max(list_filter(range(1, i), lambda l: y[l] > y[i])), 0) + 1 : i - 1]), y[i])),
+      least(y[i], coalesce(list_min(y[i + 1 : coalesce(list_min(list_filter(range(i + 1, len(y) + 1), lambda q: y[q] > y[i])), len(y) + 1) - 1]), y[i]))) AS prominence FROM pq)"""
+
+
+def compounds(spark, d):
+    """compound_id (C to N), shown (N to C) and primary_id of the library's compounds."""
+    rows = L.rt_rows(spark, d)
+    return rows.select(F.concat_ws("|", *S.BBS).alias("compound_id"), F.concat_ws("-", *reversed(S.BBS)).alias("shown"), F.concat(F.lit("R"), F.col("row_no").cast("string")).alias("primary_id"))
+
+
+def prominences(spark, d, m, o):
+    """The chosen times are in minutes where the traces' are in seconds, as far as units go: both ways and back."""
+    tr = node_traces(spark, d).select(F.array_join(F.reverse(F.split("key", r"\|")), "|").alias("compound_id"), F.lit("Count").alias("channel"), "rt", "y")
+    in_minutes = o.select("node_id", "passed", (F.col("chosen_rt") / 60).alias("chosen_rt"))
+    found = D.product_prominence(D.nodes(m), in_minutes, compounds(spark, d), tr, "minutes", "seconds")
+    return found.withColumn("chosen_rt", F.col("chosen_rt") * 60)
+
+
+@query("t14_product_prominence", pedigree_sql(f", {PRODUCTS} SELECT compound_id, node_id, round(chosen_rt, 5) AS chosen_rt, round(prominence, 5) AS prominence FROM pp"))
 def t14(spark, d):
-    m, o = evaluated(spark, d)
-    return D.product_prominence(D.nodes(m), o, node_traces(spark, d))
+    return rounded(prominences(spark, d, *evaluated(spark, d)), "chosen_rt", "prominence", digits=5)
 
 
-@query("t15_class_diagnostics")
+@query("t15_class_diagnostics", consensus_at("node_id IN ('C1_B1', 'C2_B1_B2')", 10.0))
 def t15(spark, d):
-    some = with_threshold(spark, d, 10.0).where(F.col("node_id").isin("C1_B1", "C2_B1_B2"))
-    return some.groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME)
+    some = with_threshold(spark, d, F.col("node_id").isin("C1_B1", "C2_B1_B2"), 10.0)  # the two classes that are asked for
+    return shown(some.groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME))
 
 
 FULL = "f AS (SELECT bb1, bb2, bb3 FROM rt_rows WHERE bb1 <> 'AgxNull' AND bb2 <> 'AgxNull' AND bb3 <> 'AgxNull')"
@@ -162,7 +216,7 @@ def t16(spark, d):
 
 def panels(spark, d):
     m, o = evaluated(spark, d)
-    return D.lineage(D.ancestors(L.rt_rows(spark, d)), D.nodes(m), o, m)
+    return D.lineage(D.ancestors(L.rt_rows(spark, d)), m, o)
 
 
 @query("j15_ancestors_nodes", L.sql("rt_rows", f"{ANCESTORS}, {MEMBERS}, {MADE} SELECT bb1, bb2, bb3, node_id, passed, chosen_rt FROM an JOIN oc USING (node_id)"))
@@ -170,16 +224,51 @@ def j15(spark, d):
     return D.ancestors(L.rt_rows(spark, d)).join(simple_outcomes(spark, d), "node_id").select("bb1", "bb2", "bb3", "node_id", "passed", "chosen_rt")
 
 
-@query("t17_lineage_analysis")
+PANELS = f""", {ANCESTORS}, sz AS (SELECT node_id, kind, tier, array_to_string(c, '|') AS class_bbs, CAST(count(*) AS INTEGER) AS n_members FROM members GROUP BY ALL),
+  pn AS (SELECT an.*, kind, tier, class_bbs, n_members, oc.node_id IS NOT NULL AS evaluated, coalesce(passed, false) AS passed, coalesce(insufficient_data, false) AS insufficient_data, effective_threshold, score_test_rt, score_test_rt_se, score_test_p_value,
+    bayesian_pick, bayesian_pick_posterior, coalesce(n_replicates_with_signal, 0) AS n_with_signal, chosen_rt, list_filter(initial_most_significant_picks, lambda q: q IS NOT NULL)[1] AS first_pick FROM an JOIN sz USING (node_id) LEFT JOIN oc USING (node_id))"""
+
+
+@query("t17_lineage_analysis", pedigree_sql(f"{PANELS} SELECT bb1, bb2, bb3, node_id, kind, tier, class_bbs, n_members AS n_replicates, evaluated, passed, insufficient_data, round(effective_threshold, 5) AS effective_threshold, round(chosen_rt, 5) AS chosen_rt, n_with_signal AS n_replicates_with_signal FROM pn"))
 def t17(spark, d):
-    return panels(spark, d)
+    p = panels(spark, d).withColumn("class_bbs", F.array_join("class", "|"))
+    p = p.select("bb1", "bb2", "bb3", "node_id", "kind", "tier", "class_bbs", "n_replicates", "evaluated", "passed", "insufficient_data", "effective_threshold", "chosen_rt", "n_replicates_with_signal")
+    return rounded(p, "effective_threshold", "chosen_rt", digits=5)
 
 
-@query("t18_lineage_peak_labels")
+@query("t17b_lineage_failures", L.sql("rt_rows", "SELECT bb1, bb2, bb3, 'no block at a position' AS error FROM rt_rows WHERE bb1 = 'AgxNull' OR bb2 = 'AgxNull' OR bb3 = 'AgxNull'"))
+def t17_failures(spark, d):
+    return D.lineage_failures(L.rt_rows(spark, d), D.nodes(members(spark, d)))
+
+
+LABEL_TOLERANCE, MIN_PROMINENCE, MIN_PCT_AREA = 3.0, 10.0, 15.0
+
+
+def labels_sql(first: str, second: str) -> str:
+    """The peaks of the whole traces, by ancestors' times in that order."""
+    return f"""{PANELS}, lp AS (SELECT array_to_string(list_reverse(string_split(compound_id, '|')), '|') AS compound_id, rt, intensity, prominence, pct_area FROM peaks),
+  la AS (SELECT bb1 || '|' || bb2 || '|' || bb3 AS compound_id, coalesce({first}, {second}, first_pick) AS a_rt, tier,
+    CASE WHEN kind = 'compound' THEN 'intended product (' || replace(class_bbs, '|', '-') || ')' WHEN tier = 0 THEN 'root (all null)' ELSE 'null truncation (' || replace(class_bbs, '|', '-') || ')' END AS label FROM pn),
+  lc AS (SELECT p.compound_id, p.rt, min_by(label, {{'a': abs(p.rt - a_rt), 'b': -tier, 'c': label}}) AS label FROM lp p JOIN la USING (compound_id) WHERE abs(p.rt - a_rt) <= {LABEL_TOLERANCE} GROUP BY 1, 2),
+  lbl AS (SELECT p.*, coalesce(label, 'unknown') AS label FROM lp p LEFT JOIN lc USING (compound_id, rt))
+  SELECT compound_id, rt, intensity, label FROM lbl WHERE (prominence >= {MIN_PROMINENCE} AND pct_area >= {MIN_PCT_AREA}) OR starts_with(label, 'null truncation')"""
+
+
+def labelled(spark, d, order):
+    m, o = evaluated(spark, d)
+    p = D.lineage(D.ancestors(L.rt_rows(spark, d)), m, o).withColumn("compound_id", F.concat_ws("|", *S.BBS))
+    tr = node_traces(spark, d).select(F.array_join(F.reverse(F.split("key", r"\|")), "|").alias("compound_id"), F.lit("Count").alias("channel"), "rt", "y")
+    return D.peak_labels(T.pick(tr, alpha=ALPHA), p, LABEL_TOLERANCE, order, MIN_PROMINENCE, MIN_PCT_AREA).select("compound_id", "rt", "intensity", "label")
+
+
+@query("t18_lineage_peak_labels", pedigree_sql(labels_sql("bayesian_pick", "score_test_rt")))
 def t18(spark, d):
-    p = panels(spark, d).select(F.concat_ws("|", "bb1", "bb2", "bb3").alias("compound_id"), "tier", "label", "kind", "chosen_rt")
-    peaks = T.pick(P.traces(L.points(spark, d).where("channel = 'Count'")), alpha=ALPHA).select("compound_id", "rt", "intensity")
-    return D.peak_labels(peaks, p, 3.0)
+    return labelled(spark, d, "kernel")
+
+
+@query("t18b_peak_labels_score_first", pedigree_sql(labels_sql("score_test_rt", "bayesian_pick")))
+def t18_score_first(spark, d):
+    return labelled(spark, d, "label")
 
 
 @query("a22_tier_summary", L.sql("rt_rows", f"{MEMBERS}, {MADE} SELECT tier, count_if(passed) AS pass, count_if(NOT passed) AS fail, count_if(passed IS NULL) AS pruned, count(*) AS total FROM nodes LEFT JOIN oc USING (node_id) GROUP BY ROLLUP (tier)"))
@@ -187,17 +276,17 @@ def a22(spark, d):
     return S.tier_summary(simple_outcomes(spark, d), D.nodes(members(spark, d)))
 
 
-@query("a22_tier_summary_pedigree")
+@query("a22_tier_summary_pedigree", pedigree_sql("SELECT tier, count_if(passed) AS pass, count_if(NOT passed) AS fail, count_if(passed IS NULL) AS pruned, count(*) AS total FROM nodes LEFT JOIN oc USING (node_id) GROUP BY ROLLUP (tier)"))
 def a22_pedigree(spark, d):
     m, o = evaluated(spark, d)
     return S.tier_summary(o, D.nodes(m))
 
 
-@query("a23_prominence_summary")
+@query("a23_prominence_summary", pedigree_sql(f""", {PRODUCTS} SELECT round(avg(prominence), 6) AS mean, round(coalesce(stddev_samp(prominence), 0), 6) AS std_dev, count(prominence) AS n,
+  (SELECT count(*) FROM nodes WHERE kind = 'compound') AS n_compound_nodes, (SELECT count(*) FROM nodes WHERE kind = 'compound') - count(prominence) AS n_skipped FROM pp"""))
 def a23(spark, d):
     m, o = evaluated(spark, d)
-    n = D.nodes(m)
-    return D.prominence_summary(n, D.product_prominence(n, o, node_traces(spark, d)))
+    return rounded(D.prominence_summary(D.nodes(m), prominences(spark, d, m, o)), "mean", "std_dev")
 
 
 @query("p26_visible_nodes", L.sql("rt_rows", f"{MEMBERS}, {MADE} SELECT node_id, tier, passed FROM nodes JOIN oc USING (node_id) WHERE tier <= 2 AND passed"))
@@ -212,21 +301,45 @@ def p27(spark, d):
     return o.select("node_id", D.node_status(F.col("passed"), F.col("chosen_rt").isNull(), F.col("tier"), F.col("kind")).alias("status"))
 
 
-@query("s11_pedigree_sink")
+SETTINGS = f"'Count' AS channel, CAST({ALPHA} AS DOUBLE) AS alpha, CAST({TOLERANCE} AS DOUBLE) AS tolerance, 'seconds' AS time_unit"
+
+
+@query("s11_pedigree_sink", pedigree_sql(f""", ls AS (SELECT node_id, kind, tier, array_to_string(any_value(c), '-') AS label, list_resize(CAST([] AS VARCHAR[]), 3 - tier, 'AgxNull') || any_value(c) AS p, string_agg(replace(key, '|', '-'), '|' ORDER BY ord) AS members FROM members GROUP BY 1, 2, 3)
+  SELECT ls.node_id AS id, label, tier, kind, CAST(oc.node_id IS NOT NULL AS INTEGER) AS evaluated, CAST(coalesce(passed, false) AS INTEGER) AS passed, CAST(coalesce(insufficient_data, false) AS INTEGER) AS insufficient_data, round(chosen_rt, 5) AS chosen_rt,
+    round(effective_threshold, 5) AS effective_threshold, round(score_test_rt, 5) AS score_test_rt, round(score_test_p_value, 5) AS score_test_p, round(bayesian_pick, 5) AS bayesian_pick, round(bayesian_pick_posterior, 5) AS bayesian_posterior,
+    coalesce(n_replicates, 0) AS n_replicates, coalesce(n_replicates_with_signal, 0) AS n_replicates_with_signal, members, p[3] AS bb_cycle_1, p[2] AS bb_cycle_2, p[1] AS bb_cycle_3, {SETTINGS}, 'All' AS isoform FROM ls LEFT JOIN oc USING (node_id)"""))
 def s11(spark, d):
     m, o = evaluated(spark, d)
-    listed = m.groupBy("node_id", "kind", "tier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"]), "|").alias("members"))
-    return sheets.stored_table(listed.join(o, "node_id"), folder(spark))
+    out = D.node_table(m, o, "Count", ALPHA, TOLERANCE, "seconds")
+    return rounded(sheets.stored_table(out, folder(spark)), "chosen_rt", "effective_threshold", "score_test_rt", "score_test_p", "bayesian_pick", "bayesian_posterior", digits=5)
 
 
-@query("s12_prominence_sink")
+@query("s12_prominence_sink", pedigree_sql(f", {PRODUCTS} SELECT compound_id, node_id, round(chosen_rt, 5) AS chosen_rt, round(prominence, 5) AS prominence FROM pp"))
 def s12(spark, d):
     return sheets.stored_table(t14(spark, d), folder(spark))
 
 
-@query("s13_lineage_sink")
+LINEAGE_FILE = f"""{PANELS} SELECT bb1 || '-' || bb2 || '-' || bb3 AS compound_id, 'Count' AS channel, tier, class_bbs, node_id, n_members AS n_replicates, CAST(evaluated AS INTEGER) AS evaluated, CAST(passed AS INTEGER) AS passed, CAST(insufficient_data AS INTEGER) AS insufficient_data,
+  round(effective_threshold, 5) AS effective_threshold, round(score_test_rt, 5) AS score_test_rt, round(score_test_rt_se, 5) AS score_test_rt_se, round(score_test_p_value, 5) AS score_test_p_value, round(bayesian_pick, 5) AS bayesian_pick, round(bayesian_pick_posterior, 5) AS bayesian_pick_posterior,
+  n_with_signal AS n_replicates_with_signal, CAST({ALPHA} AS DOUBLE) AS alpha, CAST({TOLERANCE} AS DOUBLE) AS tolerance, 'seconds' AS time_unit FROM pn"""
+LINEAGE_NUMBERS = ["effective_threshold", "score_test_rt", "score_test_rt_se", "score_test_p_value", "bayesian_pick", "bayesian_pick_posterior"]
+
+
+def lineage_file(spark, d):
+    return D.lineage_table(panels(spark, d), "Count", ALPHA, TOLERANCE, "seconds")
+
+
+@query("s13_lineage_sink", pedigree_sql(LINEAGE_FILE))
 def s13(spark, d):
-    path = folder(spark)
-    out = panels(spark, d).withColumn("compound_id", F.concat_ws("-", "bb1", "bb2", "bb3"))
+    """Combined: one table, whose compound_id tells rows apart."""
+    return rounded(sheets.stored_table(lineage_file(spark, d), folder(spark)), *LINEAGE_NUMBERS, digits=5)
+
+
+@query("s13b_lineage_sink_separate", pedigree_sql(LINEAGE_FILE))
+def s13_separate(spark, d):
+    """A folder of files for each compound, on demand: as many files as compounds."""
+    path, out = folder(spark), lineage_file(spark, d)
     sheets.write_separately(out.repartition("compound_id"), path, "compound_id")
-    return spark.read.csv(path, header=True).select("compound_id", "node_id", "kind", "tier", "label", "passed", "chosen_rt")
+    back = spark.read.csv(path, header=True, schema=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "compound_id"))
+    back = back.select(*out.columns).withColumn("class_bbs", F.coalesce("class_bbs", F.lit("")))
+    return rounded(back, *LINEAGE_NUMBERS, digits=5)

@@ -41,6 +41,13 @@ def tail_sql(k: str, mu: str, r: str) -> str:
     return f"CASE WHEN {k} <= 0 THEN 1.0 WHEN {mu} <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - list_sum(list_transform(range({n}), lambda j: {mass})))) END"
 
 
+def normal_tail_sql(z: str) -> str:
+    """P(Z >= z) by the power series of the distribution about 0; 0 or 1 beyond 8."""
+    odd = f"list_sum(list_transform(range(250), lambda j: exp((2 * j + 1) * ln(abs({z})) - ((j + 1) * ln(2) + lgamma(j + 1.5) - 0.5 * ln(pi())))))"
+    inner = f"0.5 - sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {odd}"
+    return f"CASE WHEN {z} > 8 THEN 0.0 WHEN {z} < -8 THEN 1.0 WHEN {z} = 0 THEN 0.5 ELSE {inner} END"
+
+
 MAXIMA = """nm AS (SELECT compound_id, channel, rt, y, unnest(range(2, len(y))) AS i FROM tr),
   mx AS (SELECT *, y[i] AS h FROM (SELECT *, list_min(list_filter(range(i + 1, len(y) + 1), lambda j: y[j] <> y[i])) AS nxt FROM nm WHERE y[i - 1] < y[i]) WHERE nxt IS NOT NULL AND y[nxt] < y[i])"""
 BOUNDS = """bd AS (SELECT *, coalesce(list_max(list_filter(range(2, i + 1), lambda l: y[l - 1] >= y[l])), 1) AS lft, coalesce(list_min(list_filter(range(i, len(y)), lambda q: y[q + 1] >= y[q])), len(y)) AS rgt FROM mx),
@@ -48,11 +55,18 @@ BOUNDS = """bd AS (SELECT *, coalesce(list_max(list_filter(range(2, i + 1), lamb
       least(h, coalesce(list_min(y[i + 1 : coalesce(list_min(list_filter(range(i + 1, len(y) + 1), lambda q: y[q] > h)), len(y) + 1) - 1]), h))) AS prominence FROM bd),
   ar AS (SELECT *, list_transform(list_filter(range(greatest(1, i - least(30, len(y) // 2)), least(len(y), i + least(30, len(y) // 2)) + 1), lambda q: q < lft OR q > rgt), lambda q: y[q]) AS around FROM pr)"""
 LOCAL = clipped_sql("ar", "compound_id, channel, i", "around", "lb")
-PICKED = f"""cand AS (SELECT ar.*, mu, sigma, r, rgt - lft + 1 AS w, list_sum(y[lft : rgt]) AS area FROM ar JOIN lb USING (compound_id, channel, i) WHERE h > mu),
+
+
+def peaks_sql(alpha: float = ALPHA, own_traces: bool = False) -> str:
+    """CTEs up to peaks, from points (tr comes with them, unless own_traces brings it)."""
+    picked = f"""cand AS (SELECT ar.*, mu, sigma, r, rgt - lft + 1 AS w, list_sum(y[lft : rgt]) AS area FROM ar JOIN lb USING (compound_id, channel, i) WHERE h > mu),
   pv AS (SELECT *, {tail_sql("h", "mu", "r")} AS p_h, {tail_sql("area", "(mu * w)", "(r * w)")} AS p_a FROM cand),
   peaks AS (SELECT compound_id, channel, rt[i] AS rt, h AS intensity, area, prominence, least(p_h, p_a) AS p_value, rt[lft] AS left_rt, rt[rgt] AS right_rt,
-      CAST(row_number() OVER (PARTITION BY compound_id, channel ORDER BY i) AS INTEGER) AS peak, 100 * area / sum(area) OVER (PARTITION BY compound_id, channel) AS pct_area FROM pv WHERE p_h < {ALPHA / 2} AND p_a < {ALPHA / 2})"""
-PEAKS_SQL = ",\n".join([TR, MAXIMA, BOUNDS, LOCAL, PICKED])
+      CAST(row_number() OVER (PARTITION BY compound_id, channel ORDER BY i) AS INTEGER) AS peak, 100 * area / sum(area) OVER (PARTITION BY compound_id, channel) AS pct_area FROM pv WHERE p_h < {alpha / 2} AND p_a < {alpha / 2})"""
+    return ",\n".join([*([] if own_traces else [TR]), MAXIMA, BOUNDS, LOCAL, picked])
+
+
+PEAKS_SQL = peaks_sql()
 BASE_SQL = clipped_sql("tr", "compound_id, channel", "y", "bl")
 STATS_SQL = f"""{PEAKS_SQL}, {BASE_SQL}, best AS (SELECT compound_id, channel, count(*) AS peak_count, max(prominence) AS max_prominence, median(prominence) AS median_prominence,
     max(intensity) AS height, min_by(rt, {{'a': -intensity, 'b': rt}}) AS tall_rt FROM peaks GROUP BY 1, 2),
@@ -138,7 +152,7 @@ def c12(spark, d):
     return b.select("compound_id", "top", F.round(tails.count_tail("top", "baseline_mu", "dispersion"), 6).alias("p"))
 
 
-@query("c13_normal_tail")
+@query("c13_normal_tail", L.sql("parts", f"z AS (SELECT *, (count - 2) / 3 AS z FROM parts) SELECT compound_id, channel, time, round({normal_tail_sql('z')}, 9) AS p FROM z"))
 def c13(spark, d):
     return L.parts(spark, d).select("compound_id", "channel", "time", F.round(tails.normal_tail((F.col("count") - 2) / 3), 9).alias("p"))
 

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share. Only a local master, whose executors are the driver's own, may do without
+    one: it gets a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",") -> DataFrame:
-    """A sheet with a header, every column as text; an empty one is an error."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding=encoding, sep=delimiter, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", line_breaks: bool = True) -> DataFrame:
+    """A sheet with a header, every column as text; an empty one is an error. A file whose cells may hold line breaks is one
+    task; without them it is split."""
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', encoding=encoding, sep=delimiter, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not df.columns:
         raise ValueError(f"no columns in {path}")
     return df
@@ -36,6 +40,12 @@ def stored_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that stored_table wrote and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_bb_index(spark: SparkSession, path: str) -> DataFrame:
     """name, index, ok of `name,index` lines; a header is optional; an index that is no whole number makes a line wrong."""
     lines = spark.read.csv(path, header=False, schema="name string, idx string").where("name is not null")
