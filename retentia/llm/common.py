@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised pass holds at once; bounds a worker's memory.
@@ -22,9 +22,12 @@ MULT_INV = U64(pow(int(MULT), -1, 2**64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured (tests) a local one is set."""
+    """The folder that driver and executors share. Only a local master, whose executors are the driver's own, may do without
+    one: it gets a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,12 +72,24 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 BROADCAST_IDS = 200_000
 
 
-def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined by doc_id with ids (k, distinct; the smallest stands for null). The ids are written and
-    counted first; few are broadcast, and then documents needn't be shuffled."""
-    ids = written(ids)
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == ids["k"], how)
+def row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """k (null id: the smallest) and tag (a hash of the text) tell a table's rows apart, but for exact repeats."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """k, tag and text (null: empty)."""
+    k, tag = row_key(docs)
+    return docs.select(k.alias("k"), tag.alias("tag"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+
+def picked_rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with rows (k, tag; distinct). The keys are written and counted first; few are broadcast,
+    and then documents needn't be shuffled."""
+    rows = written(rows.select("k", "tag"))
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    k, tag = row_key(docs)
+    return docs.join(rows, (k == rows["k"]) & (tag == rows["tag"]), how)
 
 
 #: A 64-bit value for each byte.

@@ -24,7 +24,7 @@ LEAST_TILE = 5
 COVERAGE = 0.8
 #: Bytes of benchmark text that are broadcast at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 4 << 20
-LEAKS = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double"
+LEAKS = "k long, tag long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double"
 
 
 def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -45,11 +45,14 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
         right = np.searchsorted(hb[order], ha, "right")
         hits = np.flatnonzero(right > left)
         marked = False
+        places = {}  # places of one hash, each looked at once: what is taken stays taken
         for h in hits.tolist():
             i = int(a[h])
             if not free_item[i : i + size].all():
                 continue
-            for x in order[left[h] : right[h]].tolist():
+            if left[h] not in places:
+                places[left[h]] = iter(order[left[h] : right[h]].tolist())
+            for x in places[left[h]]:
                 j = int(b[x])
                 if free_doc[j : j + size].all() and (item[i : i + size] == doc[j : j + size]).all():
                     free_item[i : i + size] = free_doc[j : j + size] = False
@@ -83,7 +86,7 @@ def scan(block, least: int, coverage: float):
     def run(batches):
         item_ids, item_words, item_off, seed, seed_item, seed_place = block.value
         for batch in batches:
-            text, ids = batch.column("text"), batch.column("doc_id").to_pylist()
+            text, ids, tags = batch.column("text"), batch.column("k").to_pylist(), batch.column("tag").to_pylist()
             _, bytes_off = C.text_buffer(text)
             for i, j in C.chunks(bytes_off):
                 words, off = words_of(text.slice(i, j - i))
@@ -124,9 +127,9 @@ def scan(block, least: int, coverage: float):
                     tiles = greedy_tiles(own, words[off[d] : off[d + 1]], width)
                     covered = sum(t[2] for t in tiles)
                     if covered >= coverage * len(own):
-                        rows.append((ids[i + d], item_ids[item], len(own), covered, len(tiles), max(t[2] for t in tiles), covered / len(own)))
+                        rows.append((ids[i + d], tags[i + d], item_ids[item], len(own), covered, len(tiles), max(t[2] for t in tiles), covered / len(own)))
                 if rows:
-                    kinds = [*[pa.int64()] * 6, pa.float64()]
+                    kinds = [*[pa.int64()] * 7, pa.float64()]
                     columns = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in LEAKS.split(", ")])
 
@@ -139,14 +142,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_TILE, c
     docs: doc_id, text; benchmark: item_id, text; others ignored. Words are runs of letters and digits, in lower case. An
     item with fewer words than `least_tile` is sought whole. Returns doc_id, item_id, item_words, covered_words, n_tiles,
     longest_tile, coverage. Null or wordless texts and items: in no pair. Null ids: kept as they are. Repeated rows: a row
-    each. No documents or no items: no rows.
+    each. Texts of any length are read whole. No documents or no items: no rows.
     """
+    found = row_leaks(docs, benchmark, least_tile, coverage)
+    return found.select(F.nullif("k", F.lit(C.NULL_ID)).alias("doc_id"), *found.columns[2:])
+
+
+def row_leaks(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
+    """As leaks, with k and tag, which tell rows apart, in place of doc_id."""
     spark = docs.sparkSession
     C.small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / BLOCK_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = C.row_keyed(docs)
     out = []
     for n in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n).orderBy("item_id", "text").collect()  # BLOCK_BYTES of them
@@ -175,6 +184,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A table like documents without those that leak an item."""
-    found = leaks(docs, benchmark).select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    return C.picked(docs, found, "left_anti")
+    """A table like documents without the rows whose text leaks an item. Other rows of the same id stay; null text stays;
+    rows that repeat id and text go together. No items: all rows. No documents: no rows."""
+    return C.picked_rows(docs, row_leaks(docs, benchmark).select("k", "tag").distinct(), "left_anti")

@@ -3,10 +3,12 @@
 Two permutations make all signature coordinates: the first spreads shingles over a universe of slots, the second gives
 each slot a rank, and coordinate i is the least rank of the document's slots shifted circularly by i.
 
-Documents with one shingle set are one class. Class representatives that share a band are candidates. Each bucket is
-first verified as a star around its least member; where that leaves several components in a bucket of three or more,
-the bucket's members are compared across components, in blocks. So no pairs are made within a group of copies, and
-every candidate pair is verified or already connected.
+Documents with one shingle set are one class. Class representatives that share a band are candidates. A bucket is first
+verified as stars: its members are dealt into cells of bounded size by bits of a hash, each cell is a star around its
+least member, and the cells' centres are one around the bucket's least. Where that leaves several components in a bucket
+of three or more, what lies outside its largest component is compared with the rest, in blocks. So no pairs are made
+within a group of copies, no member is a centre to more than a cell, and every candidate pair is verified or already
+connected.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ ROWS, BANDS = 5, 30
 SLOTS = 1 << 20
 #: Words in a shingle of the pipeline's stage; op7's contract has two.
 STAGE_WORDS = 5
-#: Documents in a block when a bucket is compared across its components.
-BLOCK = 500
-SIGNED = "k long, f1 long, f2 long, n_shingles long, bands array<long>"
+#: Members of a cell about, and documents on each side of a block when a bucket is compared across its components.
+CELL, BLOCK = 200, 500
+SIGNED = "k long, tag long, f1 long, f2 long, n_shingles long, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +77,14 @@ def sign(size: int, rows: int, bands: int):
     def run(batches):
         for batch in batches:
             data, off = C.text_buffer(batch.column("text"))
-            k = batch.column("k")
+            k, tag = batch.column("k"), batch.column("tag")
             for i, j in C.chunks(off):
                 sh, soff = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
                 sums = [np.append(U64(0), np.cumsum(x)) for x in (C.splitmix(sh), C.splitmix(sh ^ U64(0x2545F4914F6CDD1D)))]
                 f1, f2 = ((s[soff[1:]] - s[soff[:-1]]).view(np.int64) for s in sums)
                 out = signatures(sh, soff, rows, bands).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bands, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([k.slice(i, j - i), pa.array(f1), pa.array(f2), pa.array(np.diff(soff)), lists], ["k", "f1", "f2", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([k.slice(i, j - i), tag.slice(i, j - i), pa.array(f1), pa.array(f2), pa.array(np.diff(soff)), lists], ["k", "tag", "f1", "f2", "n_shingles", "bands"])
 
     return run
 
@@ -108,30 +110,32 @@ def verify(size: int, least_percent: int):
 
 
 def compare_block(size: int, least_percent: int):
-    """Links between the components of one block, as few as connect what is similar."""
+    """Links between some documents (`sought`) and others of the block that lie in other components, as few as connect what
+    is similar."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
+        rows = rows.sort_values(["sought", "k"])
         texts = [t.encode() for t in rows["text"]]
         off = np.append(0, np.cumsum([len(t) for t in texts]))
         sh, soff = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), off, size)
+        comp, k, sought = rows["comp"].to_numpy().copy(), rows["k"].to_numpy(), rows["sought"].to_numpy(bool)
+        others = int((~sought).sum())  # these come first
         vocabulary, term = np.unique(sh, return_inverse=True)
-        doc, sizes = np.repeat(np.arange(len(texts)), np.diff(soff)), np.diff(soff)
-        order = np.argsort(term, kind="stable")
+        sizes = np.diff(soff)
+        doc = np.repeat(np.arange(others), sizes[:others])
+        order = np.argsort(term[: soff[others]], kind="stable")
         posting = doc[order]
-        poff = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        comp, k, side = rows["comp"].to_numpy().copy(), rows["k"].to_numpy(), rows["side"].to_numpy()
-        apart = rows["i"].iloc[0] != rows["j"].iloc[0]  # two blocks: pairs within a block are another group's
+        poff = np.searchsorted(term[: soff[others]][order], np.arange(len(vocabulary) + 1))
         found = []
-        for x in range(len(texts)):
-            rest = (comp != comp[x]) & (side != side[x] if apart else np.arange(len(texts)) > x)
+        for x in range(others, len(texts)):
+            rest = comp[:others] != comp[x]
             if not rest.any():
                 continue
             own = term[soff[x] : soff[x + 1]]
             length = poff[own + 1] - poff[own]
             where = np.repeat(poff[own] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            both = np.bincount(posting[where], minlength=len(texts))
-            near = rest & (100 * both >= least_percent * (sizes + sizes[x] - both)) & (both > 0)
+            both = np.bincount(posting[where], minlength=others)
+            near = rest & (100 * both >= least_percent * (sizes[:others] + sizes[x] - both)) & (both > 0)
             for y in np.flatnonzero(near):
                 if comp[y] != comp[x]:
                     found.append((k[x], k[y]))
@@ -141,6 +145,18 @@ def compare_block(size: int, least_percent: int):
     return run
 
 
+def stars(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From members (bucket, k, n) of buckets: pairs a < b of members with their cell's least one, and these (bucket, k).
+
+    A bucket of n has as many cells as the power of two that makes them CELL or smaller, by the first bits of a hash of k:
+    a document has the same neighbours in every bucket of a size."""
+    cells = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("n") / CELL)))).cast("long")
+    dealt = shared.select("bucket", "k", F.pmod(F.xxhash64("k", F.lit(9)), cells).alias("cell"))
+    least = dealt.groupBy("bucket", "cell").agg(F.min("k").alias("a"))
+    inner = dealt.join(least, ["bucket", "cell"]).select("a", F.col("k").alias("b"))
+    return inner.where("a <> b"), least.select("bucket", F.col("a").alias("k"))
+
+
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """k, text of the documents whose ids are in `ids` (k, distinct); few ids are broadcast, after a count of them."""
     few = ids.count() <= C.BROADCAST_IDS
@@ -154,46 +170,65 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, least_percent: int
     doc_id, n_shingles, component_id (the smallest doc_id reachable, its own included), kept (doc_id = component_id).
 
     Null text, or one without words: empty set, linked with nothing. Null doc_id: smaller than any other. Sets that share
-    their smallest doc_id (repeats of a row) are one node, so rows that repeat are kept or dropped together. No documents:
-    no rows.
+    their smallest doc_id (repeats of a row) are one node, so rows that repeat are kept or dropped together. Texts of more
+    distinct shingles than SLOTS: nearly all slots are taken, so their signatures agree and more of them are compared; no
+    link is lost. No documents: no rows.
     """
+    found = row_components(docs, shingle_words, least_percent, rows, bands)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def row_components(docs: DataFrame, shingle_words: int, least_percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """As near_duplicates, with k and tag that tell rows apart."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    keyed = C.keyed_documents(docs).select("k", "text")
+    keyed = C.row_keyed(docs)
     signed = C.written(keyed.mapInArrow(sign(shingle_words, rows, bands), SIGNED))
     classes = C.written(signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("k").alias("rep"), F.first("bands").alias("bands")))
     member = C.written(classes.select(F.col("rep").alias("k"), F.explode("bands").alias("bucket")))
-    buckets = member.groupBy("bucket").agg(F.min("k").alias("m"), F.count("*").alias("n")).where("n > 1")
+    buckets = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = C.written(member.join(buckets, "bucket"))
-    pairs = C.written(shared.where("k <> m").select(F.col("m").alias("a"), F.col("k").alias("b")).distinct())
+    largest = shared.agg(F.max("n")).first()[0] or 0
+    pairs, centres = stars(shared)
+    while largest > CELL:  # centres of large buckets, once for each time CELL goes into their size
+        sizes = centres.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        centres = C.written(centres.join(sizes, "bucket"))
+        largest = centres.agg(F.max("n")).first()[0] or 0
+        more, centres = stars(centres)
+        pairs = pairs.union(more)
+    pairs = C.written(pairs.distinct())
+    keyed = keyed.select("k", "text")
     texts = with_texts(keyed, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()).repartition("k")
     sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     links = C.written(sides.select("a", "b", "text_a", "text_b").mapInArrow(verify(shingle_words, least_percent), "a long, b long"))
     comp = components(links)
 
     placed = shared.where("n > 2").join(comp.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    placed = C.written(placed.select("bucket", "k", "comp", "n"))
+    placed = C.written(placed.select("bucket", "k", "comp"))
     mark = F.xxhash64("k").cast("decimal(38,0)")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(mark).alias("mark"))
-    once = mixed.where("lo <> hi").groupBy("size", "mark").agg(F.min("bucket").alias("bucket"))  # one of the buckets with equal members
-    open_ = C.written(placed.join(once.select("bucket"), "bucket"))
+    by_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
+    mixed = by_comp.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("major"))
+    once = mixed.where("parts > 1").groupBy("n", "mark").agg(F.min(F.struct("bucket", "most", "major")).alias("b"))  # one of the buckets with equal members
+    open_ = C.written(placed.join(once.select("b.*", "n"), "bucket"))
     if open_.isEmpty():
         more = links
     else:
-        g = F.ceil(F.col("n") / BLOCK).cast("int")
-        side = F.pmod(F.xxhash64("k", F.lit(3)), g).cast("int")
-        split = open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
-        split = split.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+        split = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+        down, across = split(F.col("n") - F.col("most")), split(F.col("n"))
+        part = lambda of: F.pmod(F.xxhash64("k", F.lit(3)), of).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+        sought = open_.where("comp <> major").select("bucket", "k", "comp", F.lit(1).alias("sought"), part(down).alias("i"), every(across).alias("j"))
+        others = open_.select("bucket", "k", "comp", F.lit(0).alias("sought"), every(down).alias("i"), part(across).alias("j"))
         here = with_texts(keyed, open_.select("k").distinct())
-        groups = split.join(here, "k").groupBy("bucket", "i", "j")
+        groups = sought.union(others).join(here, "k").groupBy("bucket", "i", "j")
         more = links.union(groups.applyInPandas(compare_block(shingle_words, least_percent), "a long, b long"))
         comp = components(more)
     by_rep = classes.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_rep.select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("k", "f1", "f2", "n_shingles").join(by_class, ["f1", "f2"], "left")
+    out = signed.select("k", "tag", "f1", "f2", "n_shingles").join(by_class, ["f1", "f2"], "left")
     least = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("k"))
     as_id = lambda c: F.nullif(c, F.lit(C.NULL_ID))
-    return out.select(as_id(F.col("k")).alias("doc_id"), "n_shingles", as_id(least).alias("component_id"), (F.col("k") == least).alias("kept"))
+    return out.select("k", "tag", as_id(F.col("k")).alias("doc_id"), "n_shingles", as_id(least).alias("component_id"), (F.col("k") == least).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,5 +240,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Shingles have five words, not op7's two: a few scattered changes keep most word pairs of a document as they are, so
     two words link, and drop, documents that differ. Documents of fewer words are compared as a whole."""
-    others = near_duplicates(docs, shingle_words=STAGE_WORDS).where("not kept").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    return C.picked(docs, others, "left_anti")
+    others = row_components(docs, STAGE_WORDS).where("not kept").select("k", "tag").distinct()
+    return C.picked_rows(docs, others, "left_anti")

@@ -145,7 +145,8 @@ def plain(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
     """On at most SAMPLE_EACH documents of each quality, not held out, of least hash of the id."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"]).where(~held_out())
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     order = F.xxhash64("doc_id", F.lit(8))
     parts = [marked.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_EACH) for q in (0, 1)]
     rows_in = plain(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # a bounded sample
@@ -168,7 +169,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs: doc_id, text, n_chars (metadata, may be missing); labels: doc_id, quality; others ignored. Labels of held-out
     documents are never read. Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5). Null text: empty,
     scored like others by its statistics. Null n_chars: 0. Null doc_id: not held out, unless its checksum says so.
-    Repeated rows: scored each. Without labels of both qualities every score is 0.5. No documents: no rows.
+    Repeated rows: scored each. Texts of any length are read whole. Of several labels for one id the least counts. Without
+    labels of both qualities every score is 0.5. No documents: no rows.
     """
     spark = docs.sparkSession
     C.small_batches(spark)

@@ -6,11 +6,10 @@ sort locally by multikey quicksort, and what a bucket's border cuts is compared
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 from . import windows as W
@@ -52,8 +51,10 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, carry: tuple[str,
     `width` bytes keep everything. No documents: no rows.
     """
     spec = W.Spec(words=False, width=width, spread=max(1, width * 64 // 100), any_place=False)
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
-    return W.repeated(docs, spec, W.suffix_order_resolver(width), _finish(width, list(carry), as_text), ", ".join([SCHEMA + (" string" if as_text else " binary"), *fields]), list(carry))
+    schema = StructType.fromDDL(SCHEMA + (" string" if as_text else " binary"))
+    for c in carry:
+        schema = schema.add(docs.schema[c])
+    return W.repeated(docs, spec, W.suffix_order_resolver(width), _finish(width, list(carry), as_text), schema, list(carry))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """A table like documents with repeated bytes gone from its texts: a character that is cut in part goes, and so does a
-    document of which only white space stays; n_chars is that of the new text. Untouched documents stay as they are."""
-    kept = remove_repeated_bytes(docs.select("doc_id", "text", "lang", "source"), carry=("lang", "source"), as_text=True)
+    document of which only white space stays; n_chars, where there is one, is that of the new text. Untouched documents stay
+    as they are, but for null text, which becomes empty.
+
+    Rows with one id are each a document, so all but the least of different places go, and exact repeats of a row keep the
+    same bytes. A null doc_id is before all others. Columns besides these are passed on. No documents: no rows."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    source = docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs.select("doc_id", "text")
+    kept = remove_repeated_bytes(source, carry=("_rest",) if rest else (), as_text=True)
     out = kept.withColumnRenamed("kept", "text").where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(columns.get(c, F.col("_rest").getField(c) if c in rest else F.col(c)).alias(c) for c in docs.columns))

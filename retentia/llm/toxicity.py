@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
 
     Fitted on at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled documents, those of least hash of the id."""
     names = list(categories)
-    marked = labels.select("doc_id", *(F.expr(f"cast({c} as int)").alias(n) for n, c in categories.items())).dropna().dropDuplicates(["doc_id"])
+    marked = labels.select("doc_id", *(F.expr(f"cast({c} as int)").alias(n) for n, c in categories.items())).dropna()
+    marked = marked.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
     order = F.xxhash64("doc_id", F.lit(11))
     last = F.col(names[-1])
     chosen = marked.where(last == 1).orderBy(order, "doc_id").limit(SAMPLE_POSITIVE).union(marked.where(last == 0).orderBy(order, "doc_id").limit(SAMPLE_NEGATIVE))
@@ -162,15 +163,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | No
 
     docs: doc_id, text; labels: doc_id and the columns that the conditions read; other columns are ignored. Returns doc_id,
     p_<category>..., <last category> (boolean). Null or empty text: what the intercepts say. Null doc_id and repeated rows:
-    scored like others. Labels with nulls are not used, and of several for one id one is. Without usable labels every
-    probability is next to 0. No documents: no rows.
+    scored like others. Texts of any length are read whole. Labels with nulls are not used; of several for one id a
+    category holds if any says so. Without usable labels every probability is next to 0. No documents: no rows.
     """
+    found = row_toxicity(docs, labels, categories)
+    return found.select(F.nullif("k", F.lit(C.NULL_ID)).alias("doc_id"), *found.columns[2:])
+
+
+def row_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
+    """As toxicity, with k and tag, which tell rows apart, in place of doc_id."""
     spark = docs.sparkSession
     C.small_batches(spark)
     categories = categories or CATEGORIES
     chain = spark.sparkContext.broadcast(fit(docs, labels, categories))  # FEATURES weights
-    kind = ", ".join(["doc_id long", *(f"p_{n} double" for n in categories)])
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score(chain), kind)
+    kind = ", ".join(["k long, tag long", *(f"p_{n} double" for n in categories)])
+    scored = C.row_keyed(docs).mapInArrow(score(chain), kind)
     last = list(categories)[-1]
     return scored.withColumn(last, F.col(f"p_{last}") >= 0.5)
 
@@ -180,6 +187,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """A table like documents without those that the chain finds toxic. Rows that share an id go together."""
-    bad = toxicity(docs, labels).where("toxic").select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("k")).distinct()
-    return C.picked(docs, bad, "left_anti")
+    """A table like documents without the rows that the chain finds toxic. Other rows of the same id stay, with null text
+    too; rows that repeat id and text go together. No usable labels: all rows. No documents: no rows."""
+    return C.picked_rows(docs, row_toxicity(docs, labels).where("toxic").select("k", "tag").distinct(), "left_anti")

@@ -377,7 +377,7 @@ def suffix_order_resolver(width: int):
     return resolve
 
 
-def repeated(docs: DataFrame, spec: Spec, resolver: Callable, finish: Callable, schema: str, carry: list[str]) -> DataFrame:
+def repeated(docs: DataFrame, spec: Spec, resolver: Callable, finish: Callable, schema, carry: list[str]) -> DataFrame:
     """finish(batches), with columns doc_id, text, *carry, spans and more (lists of start, n, kind), gives `schema`."""
     spark = docs.sparkSession
     C.small_batches(spark)
