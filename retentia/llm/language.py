@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -18,13 +19,15 @@ from . import common as C
 U64 = np.uint64
 #: Labelled documents of each language that the text model is fitted on at most.
 SAMPLE_EACH = 500
+#: Languages of a model at most; more are an error. Bounds what is broadcast to LANGUAGES x BUCKETS numbers.
+LANGUAGES = 1000
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 13
 #: Trigrams beyond which more text adds no certainty: neighbours aren't independent.
 CERTAIN = 100
 #: Pseudo-counts that a host takes from its suffix, and a suffix from the corpus.
 HOST_WEIGHT, SUFFIX_WEIGHT = 5.0, 20.0
-#: Least number of documents that make a language.
+#: Labelled documents that it takes to learn a language; rarer names are not among those that pages can have.
 LEAST_DOCUMENTS = 5
 
 
@@ -43,17 +46,22 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit_text(documents: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities of trigram buckets (languages x BUCKETS), from a bounded sample of each language."""
+    """Languages and log probabilities of trigram buckets (languages x BUCKETS), from a bounded sample of each language: its
+    SAMPLE_EACH documents of least hash. One pass counts names; a second reads the texts whose hash is low enough to come
+    into question, which are few, and ranks these. Raises ValueError beyond LANGUAGES languages."""
     spark = documents.sparkSession
     C.small_batches(spark)
+    order = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40))
     named = documents.select("doc_id", F.lower(F.trim("lang")).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> '' and lang <> ''")
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).orderBy("lang").limit(200).collect()
-    chosen = [named.where(F.col("lang") == r.lang).sample(False, min(1.0, 1.5 * SAMPLE_EACH / r.n), 4).limit(SAMPLE_EACH) for r in sizes]
-    if not chosen:
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages have {LEAST_DOCUMENTS} labelled documents")
+    if not sizes:
         return [], np.zeros((0, BUCKETS))
-    rows = chosen[0]
-    for more in chosen[1:]:
-        rows = rows.union(more)
+    bounds = spark.createDataFrame([(r.lang, int(min(1.0, 2 * SAMPLE_EACH / r.n) * (1 << 40))) for r in sizes], "lang string, bound long")  # LANGUAGES rows at most
+    likely = named.withColumn("at", order).join(F.broadcast(bounds), "lang").where(F.col("at") < F.col("bound"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("at", "doc_id", F.xxhash64("text")))  # some 2 * SAMPLE_EACH texts
+    rows = likely.withColumn("place", place).where(F.col("place") <= SAMPLE_EACH)
 
     def count(batches):
         for batch in batches:
@@ -110,15 +118,16 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
     Returns page_id, lang, probability, text_lang (from the text alone; null without text), declared, host, suffix (empty
     where there is none). Null url: no host, whose prior is that of all such pages. Null html: no text and no declaration.
-    Null page_id and repeated rows: pages like others. Ties: the language first by name. No labelled documents: lang null,
-    probability null. No pages: no rows.
+    Null page_id and repeated rows: pages like others. Pages of any length are read whole. Ties: the language first by name.
+    Languages of under LEAST_DOCUMENTS labelled documents aren't learnt. No labelled documents: lang null, probability null.
+    No pages: no rows.
     """
     spark = pages.sparkSession
     names, table = fit_text(documents)
     parts = page_parts(pages)
     if not names:
         return parts.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", "suffix")
-    model = spark.sparkContext.broadcast(table)  # at most 200 languages x BUCKETS
+    model = spark.sparkContext.broadcast(table)  # at most LANGUAGES x BUCKETS
     kind = "page_id long, host string, suffix string, declared string, text_log array<double>"
     pages_ = C.written(parts.mapInArrow(text_evidence(model), kind))
     n = len(names)
@@ -140,11 +149,11 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     fit_of_suffix = F.zip_with("s", F.array(*(F.lit(float(x)) for x in total)), lambda a, b: (a + 1.0) / (b + 10.0))
     suffix_prior = suffix_prior.withColumn("suffix_fit", fit_of_suffix)
     host_prior = by_host.join(suffix_prior, "suffix").select("suffix", "host", share(F.col("c"), F.col("suffix_share"), F.lit(HOST_WEIGHT)).alias("prior"), "suffix_fit")
-    # P(declared | language): at most a few declared languages matter; rare ones say nothing
-    said = seen.where("declared <> ''").groupBy("declared").agg(*ones, F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(200)
+    # P(declared | language), of every declaration; an aggregate whose size decides how it is joined
+    said = seen.where("declared <> ''").groupBy("declared").agg(*ones)
     said = said.select("declared", F.zip_with(lists, F.array(*(F.lit(float(x)) for x in total)), lambda a, b: (a + 1.0) / (b + 10.0)).alias("declared_fit"))
     even = F.array(*(F.lit(1.0) for _ in names))
-    joined = pages_.join(F.broadcast(said), "declared", "left").join(host_prior, ["suffix", "host"])
+    joined = pages_.join(said, "declared", "left").join(host_prior, ["suffix", "host"])
     log = lambda a: F.transform(a, lambda x: F.log(x))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     score = plus(plus(F.col("text_log"), log(F.col("prior"))), plus(log(F.coalesce("declared_fit", even)), log(F.col("suffix_fit"))))
