@@ -39,10 +39,16 @@ class Index:
     rotation: np.ndarray
     centroids: np.ndarray
 
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """To all centroids, squared, but for what is the same for all."""
+        return (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return self.distances(x).argmin(1)
+
     def order(self, x: np.ndarray) -> np.ndarray:
         """Lists of each vector, nearest first."""
-        d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        return np.argsort(d, axis=1, kind="stable")
+        return np.argsort(self.distances(x), axis=1, kind="stable")
 
 
 def fit(sample: np.ndarray, lists: int) -> Index:
@@ -68,7 +74,7 @@ def lists_to_probe(index: Index, sample: np.ndarray, k: int) -> int:
     n = len(sample)
     lists = len(index.centroids)
     trial = sample[np.random.default_rng(7).permutation(n)[:TRIALS]]
-    of = index.order(sample)[:, 0]
+    of = index.nearest(sample)
     rank = np.empty((len(trial), lists), np.int64)
     np.put_along_axis(rank, index.order(trial), np.arange(lists)[None, :], 1)
     d = (sample**2).sum(1)[None, :] - 2 * trial @ sample.T
@@ -147,28 +153,30 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     lists, probed = len(index.centroids), lists_to_probe(index, sample, k)
     shared = spark.sparkContext.broadcast(index)  # SAMPLE / LEAST_IN_LIST centroids at most, and a rotation
 
-    @F.pandas_udf("array<int>")
-    def list_order(v: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.order(np.stack(v.to_numpy())).astype(np.int32)))
+    @F.pandas_udf("int")
+    def own_list(v: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.nearest(np.stack(v.to_numpy())).astype(np.int32))
 
-    placed = written(rows.withColumn("lists", list_order("v")).withColumn("list", F.col("lists")[0]))
+    placed = written(rows.withColumn("list", own_list("v")))
     held = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # a row for each list
-    parts = [max(1, -(-held.get(i, 0) // PART)) for i in range(lists)]
-    holds = F.array(*(F.lit(held.get(i, 0)) for i in range(lists)))
-    splits = F.array(*(F.lit(p) for p in parts))
-    base = placed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), splits[F.col("list")]).cast("int").alias("part"))
-    reached = F.expr("transform(lists, (x, i) -> aggregate(slice(lists, 1, i), 0L, (a, y) -> a + holds[y]))")
+    holds = np.array([held.get(i, 0) for i in range(lists)])
+    splits = F.array(*(F.lit(int(max(1, -(-n // PART)))) for n in holds))
     enough = max(20 * k, k + 1)
-    first = F.col("reached") < enough
-    asked = (
-        placed.where(F.col("vec_id") % every == 0)
-        .withColumn("holds", F.transform(holds, lambda x: x.cast("long")))
-        .withColumn("reached", reached)
-        .select("vec_id", "v", F.posexplode(F.arrays_zip("lists", "reached")).alias("at", "x"))
-        .select("vec_id", "v", "at", F.col("x.lists").alias("list"), F.col("x.reached").alias("reached"))
-        .where((F.col("at") < probed) | first)
-        .select("vec_id", "v", "list", first.alias("first"))
-    )
+
+    @F.pandas_udf("array<int>")
+    def asked_lists(v: pd.Series) -> pd.Series:
+        """Lists to probe, nearest first: as many as the sample asked for, and on until they hold enough candidates. Those
+        that it takes to hold enough are marked by a sign, -1 - list."""
+        order = shared.value.order(np.stack(v.to_numpy()))
+        size = holds[order]
+        first = np.cumsum(size, 1) - size < enough
+        wanted = first | (np.arange(lists) < probed)
+        return pd.Series([np.where(f, -1 - o, o)[w].astype(np.int32) for o, f, w in zip(order, first, wanted, strict=True)])
+
+    base = placed.select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), splits[F.col("list")]).cast("int").alias("part"))
+    mark = F.col("mark")
+    asked = placed.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode(asked_lists("v")).alias("mark"))
+    asked = asked.select("vec_id", "v", F.when(mark < 0, -1 - mark).otherwise(mark).alias("list"), (mark < 0).alias("first"))
     # a list that many queries ask is met by them in blocks, and each block by all parts of the list
     asking = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # a row for each list
     blocks = F.array(*(F.lit(max(1, -(-asking.get(i, 0) // QUERY_BLOCK))) for i in range(lists)))
