@@ -39,6 +39,8 @@ SETTLED = 200_000
 SETTLED_ROWS = 1000
 #: Documents from which splitters are drawn.
 SPLITTER_DOCS = 3000
+#: Bytes of text for each bucket: what a task sorts and resolves at once is in proportion, whatever the corpus' size.
+BUCKET_BYTES = 4 << 20
 CLOSED, OPEN, HOT = 0, 1, 2
 RUNS = "part int, blob binary"
 SPANS = "k long, tag long, start int, n int, kind int, part int"
@@ -110,9 +112,8 @@ def batch_runs(batch: pa.RecordBatch, spec: Spec):
         yield k[i:j][doc], tag[i:j][doc], start, n, anchor, run
 
 
-def splitters(docs: DataFrame, spec: Spec, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled splitters over (anchor, run): parts - 1 of them. They steer sizes alone, never results."""
-    n = docs.count()
+def splitters(docs: DataFrame, spec: Spec, n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled splitters over (anchor, run): parts - 1 of them, from n documents. They steer sizes alone, never results."""
 
     def sample(batches):
         for batch in batches:
@@ -381,9 +382,10 @@ def repeated(docs: DataFrame, spec: Spec, resolver: Callable, finish: Callable,
     """finish(batches), with columns doc_id, text, *carry, spans and more (lists of start, n, kind), gives `schema`."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    parts = C.partitions(spark)
     keyed = C.keyed_documents(docs)
-    cut = splitters(keyed.select("k", "tag", "text"), spec, parts)
+    n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(C.partitions(spark), -(-size // BUCKET_BYTES))
+    cut = splitters(keyed.select("k", "tag", "text"), spec, n, parts)
     found = keyed.select("k", "tag", "text").mapInArrow(find_runs(spec, *cut), RUNS)
     spans = found.repartitionById(parts, F.col("part")).mapInArrow(sort_buckets(spec, *cut), SPANS)
     lists = F.collect_list(F.struct("start", "n", "kind", "part"))

@@ -21,7 +21,7 @@ def test_stages(spark, sf, tmp_path):
             toxic = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("toxic").collect()}
             assert gone == toxic and toxic
         elif name == "minhash_near_dedup":
-            assert gone == {r.doc_id for r in minhash.near_duplicates(docs).where("not kept").collect()}
+            assert gone == {r.doc_id for r in minhash.near_duplicates(docs, shingle_words=5).where("not kept").collect()}
         elif name == "suffix_array_dedup":
             sizes = {r.doc_id: r.n_removed for r in suffix_array.remove_repeated_bytes(docs).collect()}
             changed = {r.doc_id: r.text for r in new.collect()}
