@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, minhash, neighbours, packing, quality, sharding, substring, suffix_array, toxicity
+from . import decontamination, language, minhash, neighbours, packing, quality, sharding, sql, substring, suffix_array, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_language_id": language.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": sql.REPEATED_BYTES,
+    "op4_substring_dedup": sql.REPEATED_WORDS,
+    "op5_sharding": sql.SHARDS,
+    "op7_minhash_near_dedup": sql.NEAR_DUPLICATES,
+}
