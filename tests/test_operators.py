@@ -82,9 +82,29 @@ def test_index_file(spark):
 
 
 def test_peak_labels(spark):
-    peaks = spark.createDataFrame([("x", 20.5), ("x", 99.0)], "compound_id string, rt double")
-    panels = spark.createDataFrame([("x", 1, "A", "class", 20.0), ("x", 3, "A-B-C", "compound", 30.0)], "compound_id string, tier int, label string, kind string, chosen_rt double")
-    assert {r.rt: r.label for r in D.peak_labels(peaks, panels, 5.0).collect()} == {20.5: "null truncation (A)", 99.0: "unknown"}
+    peaks = spark.createDataFrame([("x", 20.5, 9.0, 60.0), ("x", 30.2, 1.0, 30.0), ("x", 99.0, 9.0, 10.0), ("x", 21.0, 1.0, 1.0)], "compound_id string, rt double, prominence double, pct_area double")
+    rows = [("x", 1, ["A"], "class", 20.0, 24.0, [20.0]), ("x", 3, ["A", "B", "C"], "compound", None, 30.0, [None]), ("x", 0, [], "class", None, None, [None, 99.0])]
+    panels = spark.createDataFrame(rows, "compound_id string, tier int, class array<string>, kind string, bayesian_pick double, score_test_rt double, initial_most_significant_picks array<double>")
+    got = lambda **o: {r.rt: r.label for r in D.peak_labels(peaks, panels, 1.5, **o).collect()}
+    assert got() == {20.5: "null truncation (A)", 30.2: "intended product (A-B-C)", 99.0: "root (all null)", 21.0: "null truncation (A)"}
+    # a poor peak stays if it is a null truncation
+    assert got(min_prominence=5.0, min_pct_area=5.0) == {20.5: "null truncation (A)", 99.0: "root (all null)", 21.0: "null truncation (A)"}
+    assert got(order="label")[20.5] == "unknown"
+
+
+def test_filters_do_not_split_cells_again(spark):
+    rows = cells(spark, "1:2;3").selectExpr("'a' AS id", "'v' AS variant", "cell")
+    plan = P.good(P.ingested(rows, P.SheetOptions())).where("groups is not null")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "split(" in line]
+
+
+def test_pruned_nodes_are_listed(spark):
+    centers = {"": 5, "A": 10, "B": None, "AA": 15, "AB": 15, "BA": 15, "BB": 15}
+    members, outcomes = pedigree(spark, centers)
+    o = spark.createDataFrame([tuple(r) for r in outcomes.values()], D.OUTCOME)
+    rows = {r.id: r for r in D.node_table(members, o, "Count", 0.001, 0.5, "seconds", columns=["bb1", "bb2"]).collect()}
+    assert len(rows) == 7 and (rows["F2_A_B"].evaluated, rows["F2_A_B"].bb_cycle_1, rows["F2_A_B"].bb_cycle_2) == (0, "B", "A")
+    assert (rows["C1_A"].evaluated, rows["C1_A"].passed, rows["C1_A"].members) == (1, 1, "A-AgxNull|AgxNull-A")
 
 
 def pedigree(spark, centers):
