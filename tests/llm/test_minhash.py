@@ -54,6 +54,23 @@ def test_chain_in_one_bucket(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == plain(docs)
 
 
+def test_stars_of_small_cells(documents, corpus, monkeypatch):
+    """With several levels of centres, and blocks of few documents."""
+    monkeypatch.setattr(minhash, "CELL", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rows = minhash.near_duplicates(documents).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == plain(corpus)
+
+
+def test_rows_are_picked_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, c, "x"), (3, c, "x"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id is null or not (doc_id = 2 and k = 'y')").collect()))
+
+
 def test_empty(no_documents):
     assert minhash.near_duplicates(no_documents).count() == 0
 

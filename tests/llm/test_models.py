@@ -81,6 +81,23 @@ def test_logistic():
     assert sigmoid(w[0] + w[1]) > 0.9 > 0.1 > sigmoid(w[1])
 
 
+def test_host_decides_where_the_text_does_not(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    told = {lang: docs.where(f"lang = '{lang}' and length(text) > 400").first().text.replace("<", " ") for lang in ("de", "fr")}
+    pages = [(100 * n + i, f"http://{lang}-site.example/{i}", f"<p>{told[lang]}</p>") for n, lang in enumerate(told) for i in range(20)]
+    pages += [(1000, "http://de-site.example/x", "<p>7</p>"), (1001, "http://fr-site.example/x", "<p>7</p>")]
+    rows = {r.page_id: r for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert rows[1000].text_lang == rows[1001].text_lang
+    assert (rows[1000].lang, rows[1001].lang) == ("de", "fr")
+
+
+def test_labels_that_disagree_have_a_defined_result(spark):
+    docs, labels = labelled(spark, 120)
+    more = labels.union(labels.where("doc_id < 60").selectExpr("doc_id", "1 - quality", "1 - toxic"))
+    a, b = ({r.doc_id: r.score for r in quality.quality(docs, x).collect()} for x in (more, more.repartition(7, "toxic")))
+    assert a == b
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     pages = spark.read.parquet(f"{sf}/pages.parquet")
