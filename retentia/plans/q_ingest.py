@@ -120,6 +120,16 @@ def p03(spark, d):
     return L.sheet(spark, d).agg(F.lit(k).alias("fields"), F.count("*").alias("rows"), F.count_if(n % k == 0).alias("divisible"))
 
 
+@query("p03b_fields_rule_branches", sheet_sql("SELECT rule, fields, count(*) AS rows, count_if(len(items) % fields = 0) AS divisible FROM itemised, (VALUES ('given', 2), ('delimiters', 3), ('largest index', 5)) r(rule, fields) GROUP BY 1, 2"))
+def p03_branches(spark, d):
+    """Each branch of the rule, over the sheet's cells."""
+    options = {"given": P.SheetOptions(fields=2), "delimiters": P.SheetOptions(), "largest index": P.SheetOptions(delimiters=(), counts={"Count": 1, "Scaled": 4})}
+    n = F.size(P.split_items(F.col("cell"), SHEET.delimiters))
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(o.fields_per_point).alias("fields")) for r, o in options.items()))).alias("r")
+    rows = L.sheet(spark, d).select(n.alias("n"), rules).select("n", "r.*")
+    return rows.groupBy("rule", "fields").agg(F.count("*").alias("rows"), F.count_if(F.col("n") % F.col("fields") == 0).alias("divisible"))
+
+
 @query("p04_point_cleaning", sheet_sql("SELECT row_no, len(pts) AS n_points, round(list_sum(list_transform(pts, lambda p: coalesce(p.a, 0))), 6) AS sum_count, round(list_sum(list_transform(pts, lambda p: p.t)), 6) AS sum_time FROM ingested WHERE groups IS NOT NULL"))
 def p04(spark, d):
     rows = ingested(spark, d).where(F.col("groups").isNotNull())
