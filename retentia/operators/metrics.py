@@ -98,8 +98,9 @@ def full_fraction_coverage(points: DataFrame, digits: int = 2) -> DataFrame:
     return full.groupBy("channel").agg(F.max("wanted").alias("n_times"), F.count("*").alias("entries"), F.count_if(F.col("met") == F.col("wanted")).alias("full"), F.avg((F.coalesce("met", F.lit(0)) == F.col("wanted")).cast("double")).alias("share"))
 
 
-def scan_report(points: DataFrame, compounds: DataFrame, channels: list[str]) -> DataFrame:
-    """level, message rows: no entries or unknown channels are errors, an odd share of compounds a warning."""
+def scan_report(points: DataFrame, compounds: DataFrame, channels: list[str], source: str | None = None, active: str | None = None) -> DataFrame:
+    """level, message rows: no entries or channels, or unknown channels, are errors; an odd share of compounds is a warning, and
+    so is a scan of another source than the active one."""
     n = points.agg(F.count_distinct("compound_id").alias("entries"))
     m = compounds.agg(F.count("*").alias("compounds"))
     both = n.crossJoin(m)  # a row each
@@ -107,8 +108,9 @@ def scan_report(points: DataFrame, compounds: DataFrame, channels: list[str]) ->
     messages = F.filter(
         F.array(
             F.when(F.col("entries") == 0, F.struct(F.lit("error").alias("level"), F.lit("no entries").alias("message"))),
-            F.when(share < 0.5, F.struct(F.lit("warning").alias("level"), F.lit("few entries").alias("message"))),
+            F.when((share < 0.5) & (F.col("entries") > 0), F.struct(F.lit("warning").alias("level"), F.lit("few entries").alias("message"))),
             F.when(share > 1.05, F.struct(F.lit("warning").alias("level"), F.lit("more entries than compounds").alias("message"))),
+            F.when(F.lit(bool(source) and source != active), F.struct(F.lit("warning").alias("level"), F.lit(f"scan of {source}, not of {active}").alias("message"))),
         ),
         lambda x: x.isNotNull(),
     )

@@ -123,6 +123,16 @@ def good(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("reject_reason").isNull())
 
 
+def scan(rows: DataFrame) -> DataFrame:
+    """Every ingested row's points in order of time, one a row and channel (place counts from 0 in each trace), and its
+    reject_reason; a skipped row stands once, without points. rows: row_no, compound_id, points, reject_reason."""
+    used = F.when(F.col("reject_reason").isNull(), F.col("points"))
+    out = rows.select("row_no", "compound_id", "reject_reason", F.posexplode_outer(used).alias("place", "p"))
+    return out.select("row_no", "compound_id", "reject_reason", "place", F.col("p.time").alias("time"), F.explode_outer("p.counts").alias("c")).select(
+        "row_no", "compound_id", "reject_reason", "place", "time", F.col("c.channel").alias("channel"), F.col("c.count").alias("count")
+    )
+
+
 def last_wins(df: DataFrame, keys: list[str], order: str = "row_no") -> DataFrame:
     """The latest row of each key, by grouped maximum: no sort, and partial results before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -188,6 +188,27 @@ def pedigree_rt(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("rt").isNotNull()).groupBy("key").agg(F.max_by("rt", order).alias("rt"))
 
 
+#: Where a tuple's time comes from, the first that has one.
+RT_SOURCES = ("metadata", "pedigree", "peak_pick")
+
+
+def resolve_times(tuples: DataFrame, sources: dict[str, DataFrame], columns: list[str] = BBS) -> DataFrame:
+    """tuples (columns and others) with rt and rt_source: of the given sources (name -> columns, rt; one row a tuple) the
+    first of RT_SOURCES that knows the tuple; `none` and no rt where none does."""
+    known = [n for n in RT_SOURCES if n in sources]
+    for name in known:
+        tuples = tuples.join(sources[name].select(*columns, F.col("rt").alias(f"_{name}")), columns, "left")
+    rt = F.coalesce(*(F.col(f"_{n}") for n in known), F.lit(None).cast("double"))
+    origin = F.coalesce(*(F.when(F.col(f"_{n}").isNotNull(), n) for n in known), F.lit("none"))
+    return tuples.withColumn("rt", rt).withColumn("rt_source", origin).drop(*(f"_{n}" for n in known))
+
+
+def split_tree(resolved: DataFrame, threshold: float, columns: list[str] = BBS) -> DataFrame:
+    """columns, rt, success: tuples with a time, in canonical spelling, the last of each, held against their truncations.
+    resolved: columns, rt, row_no."""
+    return verify(canonical_rows(resolved.where(F.col("rt").isNotNull()).select("row_no", *columns, "rt"), columns), threshold, columns)
+
+
 def canonical_rows(rows: DataFrame, columns: list[str] = BBS) -> DataFrame:
     """Rows in canonical spelling, the last of each tuple."""
     known = K.canonical_names(building_blocks(rows, columns))

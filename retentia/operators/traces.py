@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import signal as G
 
 PEAKS = "compound_id string, channel string, peak int, rt double, intensity double, area double, prominence double, p_value double, pct_area double, left_rt double, right_rt double"
+ANALYSED = PEAKS + ", baseline_mu double, baseline_sigma double, dispersion double"
 BASELINES = "compound_id string, channel string, baseline_mu double, baseline_sigma double, dispersion double"
 
 
@@ -38,21 +39,34 @@ def picker(kind: str = "modern", alpha: float = 0.001, options: G.GaussianOption
 def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """The peaks of every trace of three points or more, numbered in order of time, with each one's share of the area of all
     that were found; then only those of enough prominence and share."""
+    return _picked(traces, kind, alpha, options, min_prominence, min_pct_area, PEAKS, lambda y: ())
+
+
+def analyse(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
+    """The peaks of pick, each with its trace's baseline, in one pass over the traces. What can't be analysed: failures."""
+    return _picked(traces, kind, alpha, options, min_prominence, min_pct_area, ANALYSED, G.clipped_baseline)
+
+
+def _picked(traces: DataFrame, kind: str, alpha: float, options, min_prominence: float, min_pct_area: float, schema: str, of_trace) -> DataFrame:
     find = picker(kind, alpha, options)
 
     def run(batches):
         for batch in batches:
             ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
             rows = []
-            for i, peaks in enumerate(find([(rt, y) for _, rt, y in arrays(batch)])):
+            series = [(rt, y) for _, rt, y in arrays(batch)]
+            for i, peaks in enumerate(find(series)):
+                if not peaks:
+                    continue
+                more = of_trace(series[i][1])
                 total = sum(p.area for p in peaks)
                 if kind == "modern":
                     peaks = G.keep_quality(peaks, min_prominence, min_pct_area, False)
                 for n, p in enumerate(peaks, 1):
-                    rows.append((ids[i], channels[i], n, p.rt, p.intensity, p.area, p.prominence, p.p_value, 100 * p.area / total if total > 0 else 0.0, p.left_rt, p.right_rt))
-            yield rows_batch(rows, PEAKS)
+                    rows.append((ids[i], channels[i], n, p.rt, p.intensity, p.area, p.prominence, p.p_value, 100 * p.area / total if total > 0 else 0.0, p.left_rt, p.right_rt, *more))
+            yield rows_batch(rows, schema)
 
-    return traces.where(F.size("rt") >= 3).select("compound_id", "channel", "rt", "y").mapInArrow(run, PEAKS)
+    return traces.where(F.size("rt") >= 3).select("compound_id", "channel", "rt", "y").mapInArrow(run, schema)
 
 
 def failures(traces: DataFrame) -> DataFrame:

@@ -99,6 +99,14 @@ def a39(spark, d):
     return M.scan_report(L.parts(spark, d), L.table(spark, d, "orders"), ["Count"])
 
 
+@query("a39b_scan_of_another_source", L.sql("points parts", """nc AS (SELECT count(DISTINCT compound_id) AS c FROM points), ns AS (SELECT count(DISTINCT compound_id) AS n FROM parts)
+  SELECT 'error' AS level, 'unknown channel ' || channel AS message FROM (SELECT DISTINCT channel FROM parts WHERE channel NOT IN ('Count'))
+  UNION ALL SELECT 'warning', 'few entries' FROM ns, nc WHERE n / c < 0.5 UNION ALL SELECT 'warning', 'more entries than compounds' FROM ns, nc WHERE n / c > 1.05 UNION ALL SELECT 'warning', 'scan of parts, not of blocks'"""))
+def a39_source(spark, d):
+    compounds = L.library(spark, d).select("compound_id").distinct()
+    return M.scan_report(L.parts(spark, d), compounds, ["Count"], source="parts", active="blocks")
+
+
 @query("w01_fraction_index", L.sql("parts", FRACTIONS + " SELECT compound_id, channel, time, fraction, count FROM fr"))
 def w01(spark, d):
     return M.with_fraction(L.parts(spark, d)).select("compound_id", "channel", "time", "fraction", "count")

@@ -8,9 +8,11 @@ from ..functions import tokens as K
 from ..operators import joins as J
 from ..operators import parse as P
 from ..operators import splittree as S
+from ..operators import traces as T
 from . import library as L
 from .catalog import query
 from .q_ingest import CLASS, NUM
+from .q_traces import ALPHA, PEAKS_SQL
 
 THR = 4.0
 NULLS = "(bb1 = 'AgxNull' OR bb2 = 'AgxNull' OR bb3 = 'AgxNull')"
@@ -75,6 +77,49 @@ def t23(spark, d):
     return v.agg(F.count("*").alias("n_rows"), F.count_if("success").alias("n_verified"), F.count_if(full).alias("n_products"), F.count_if(full & F.col("success")).alias("n_products_verified"))
 
 
+SHEET_RT = f"""sr AS (SELECT bb1, bb2, bb3, max_by(CAST(mass AS DOUBLE) * 60, row_no) AS rt FROM sheet WHERE regexp_matches(trim(mass), {NUM}) AND trim(variant) = 'cyclic' GROUP BY 1, 2, 3)"""
+JOB = f"""{PEAKS_SQL}, {SHEET_RT}, pk AS (SELECT compound_id, max(rt) AS rt FROM peaks WHERE channel = 'Count' GROUP BY 1),
+  pg AS (SELECT bb1, bb2, bb3, rt FROM rt_rows WHERE rt > 40),
+  job AS (SELECT t.bb1, t.bb2, t.bb3, coalesce(sr.rt, pg.rt, pk.rt) AS rt, CASE WHEN sr.rt IS NOT NULL THEN 'metadata' WHEN pg.rt IS NOT NULL THEN 'pedigree' WHEN pk.rt IS NOT NULL THEN 'peak_pick' ELSE 'none' END AS rt_source
+    FROM rt_rows t LEFT JOIN sr USING (bb1, bb2, bb3) LEFT JOIN pg USING (bb1, bb2, bb3) LEFT JOIN pk ON pk.compound_id = t.bb1 || '|' || t.bb2 || '|' || t.bb3),
+  timed AS (SELECT * FROM job WHERE rt IS NOT NULL), {VERIFIED.replace("rt_rows", "timed")}"""
+
+
+def job_times(spark, d):
+    """Times of the library's tuples from the sheet, else from those the tuples' outcomes hold, else from their own peaks."""
+    from ..sources import sheets
+    from .q_ingest import folder
+
+    tuples = L.rt_rows(spark, d)
+    sheet = L.sheet(spark, d).where(F.trim("variant") == "cyclic")
+    noted = P.in_unit(P.rt_value(F.col("mass")), P.rt_unit("mass (min)"), "seconds")
+    noted = P.last_wins(sheet.select(*S.BBS, "row_no", noted.alias("rt")).where("rt is not null"), S.BBS)
+    outcomes = tuples.select(S.key_of(S.positions()).alias("key"), "rt", F.lit(True).alias("passed"), F.col("row_no").alias("ord")).where("rt > 40")
+    unkeyed = [F.split("key", P.SEPARATOR)[i].alias(c) for i, c in enumerate(S.BBS)]
+    picks = T.direct_rt(T.pick(P.traces(L.points(spark, d).where("channel = 'Count'")), alpha=ALPHA))
+    own = [F.split("compound_id", r"\|")[i].alias(c) for i, c in enumerate(S.BBS)]
+    sources = {"metadata": noted, "pedigree": S.pedigree_rt(outcomes).select(*unkeyed, "rt"), "peak_pick": picks.select(*own, "rt")}
+    return sheets.stored_table(S.resolve_times(tuples.select("row_no", *S.BBS), sources), folder(spark))  # verification reads it often
+
+
+@query("t23b_split_tree_rows", L.sql("sheet points rt_rows", f"{JOB} SELECT bb1, bb2, bb3, job.rt, rt_source, success FROM job LEFT JOIN vf USING (bb1, bb2, bb3)"))
+def t23_rows(spark, d):
+    times = job_times(spark, d)
+    return times.drop("row_no").join(S.split_tree(times, THR).drop("rt"), S.BBS, "left")
+
+
+@query("t23c_split_tree_paths", L.sql("sheet points rt_rows", f"{JOB} SELECT CAST(d AS INTEGER) AS depth, array_to_string([bb1, bb2, bb3][1:d], '|') AS prefix, max(CASE WHEN d = 3 THEN rt END) AS rt FROM pd, range(1, 4) g(d) WHERE success GROUP BY 1, 2"))
+def t23_paths(spark, d):
+    return S.tree_paths(S.split_tree(job_times(spark, d), THR))
+
+
+@query("t23d_split_tree_audit", L.sql("sheet points rt_rows", f"""{JOB} SELECT 'n_rows' AS field, count(*) AS value FROM job UNION ALL SELECT 'n_' || s, (SELECT count(*) FROM job WHERE rt_source = s) FROM (VALUES ('metadata'), ('pedigree'), ('peak_pick'), ('none')) v(s)
+  UNION ALL SELECT 'n_verified', count_if(success) FROM vf UNION ALL SELECT 'n_failed', count_if(NOT success) FROM vf"""))
+def t23_audit(spark, d):
+    times = job_times(spark, d)
+    return S.audit(times, S.split_tree(times, THR))
+
+
 @query("t24_metadata_rt_rows", L.sql("sheet", f"""p AS (SELECT bb1, bb2, bb3, row_no, CASE WHEN regexp_matches(trim(mass), {NUM}) THEN CAST(mass AS DOUBLE) * 60 END AS rt FROM sheet)
   SELECT bb1, bb2, bb3, rt FROM (SELECT *, row_number() OVER (PARTITION BY bb1, bb2, bb3 ORDER BY row_no DESC) AS n FROM p WHERE rt IS NOT NULL) WHERE n = 1"""))
 def t24(spark, d):

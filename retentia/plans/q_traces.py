@@ -121,6 +121,11 @@ def w08(spark, d):
     return T.direct_rt(library_peaks(spark, d))
 
 
+@query("w08b_direct_pick_old_way", L.sql("points", f"{PEAKS_SQL}, top AS (SELECT compound_id, channel, max(count) AS m FROM points GROUP BY 1, 2) SELECT compound_id, channel, max(rt) AS rt FROM peaks JOIN top USING (compound_id, channel) WHERE rt >= 12 AND intensity >= 0.6 * m GROUP BY 1, 2"))
+def w08_old(spark, d):
+    return T.direct_rt(library_peaks(spark, d), M.entry_maxima(L.points(spark, d)), minimum_rt=12.0, factor=0.6)
+
+
 @query("w09_stage1_picks", L.sql("points", f"{PEAKS_SQL} SELECT compound_id, channel, min(rt) AS earliest, min_by(rt, {{'a': p_value, 'b': rt}}) AS most_significant FROM (SELECT * REPLACE (round(p_value, 9) AS p_value) FROM peaks) WHERE rt > 20 GROUP BY 1, 2"))
 def w09(spark, d):
     return T.peak_picks(rounded(library_peaks(spark, d), "p_value", digits=9), 20.0)
@@ -200,6 +205,21 @@ def t04_failures(spark, d):
     return T.failures(P.traces(L.parts(spark, d)))
 
 
+@query("t04b_peak_analysis_peaks", L.sql("points", f"""{PEAKS_SQL}, {BASE_SQL}, {QUALITY} SELECT compound_id, channel, CAST(row_number() OVER (PARTITION BY compound_id, channel ORDER BY rt) AS INTEGER) AS peak, rt, intensity, area, prominence, round(p_value, 6) AS p_value,
+  round(pct, 4) AS pct_area, left_rt, right_rt, round(mu, 6) AS baseline_mu, round(sigma, 6) AS baseline_sigma, round(r, 4) AS dispersion FROM q JOIN bl USING (compound_id, channel) WHERE prominence >= 5 AND pct >= 20"""))
+def t04_peaks(spark, d):
+    found = T.analyse(library_traces(spark, d), alpha=ALPHA, min_prominence=5.0, min_pct_area=20.0)
+    return rounded(rounded(found, "p_value", "baseline_mu", "baseline_sigma"), "pct_area", "dispersion", digits=4)
+
+
+@query("t04c_failures_of_pairs", "SELECT 'P' || l_partkey || '|S' || l_suppkey AS compound_id, 'Count' AS channel, 'fewer than 3 points' AS error FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT date_trunc('month', l_shipdate)) < 3")
+def t04_failing(spark, d):
+    t = L.table(spark, d, "lineitem")
+    pair = F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("|S"), F.col("l_suppkey").cast("string"))
+    p = t.groupBy(pair.alias("compound_id"), L.months(F.col("l_shipdate")).alias("time")).agg(F.count("*").cast("double").alias("count"))
+    return T.failures(P.traces(p.withColumn("channel", F.lit("Count"))))
+
+
 STATS_COLUMNS = ["baseline_mu", "baseline_sigma", "max_prominence", "median_prominence", "snr_excess", "snr_ratio", "dynamic_range"]
 
 
@@ -215,6 +235,13 @@ def t06(spark, d):
     return rows.agg(F.count("*").alias("attempted"), F.count_if(ok).alias("used"), F.count_if(~ok).alias("skipped"), F.sum(F.when(ok, F.size("points"))).cast("double").alias("points"))
 
 
+@query("t06b_library_scan_traces", sheet_sql(""", pz AS (SELECT row_no, compound_id, unnest(list_transform(list_sort(list_transform(pts, lambda p: {'t': p.t, 'na': p.a IS NULL, 'a': coalesce(p.a, -1), 'b': coalesce(p.b, -1)})), lambda p, i: {'p': p, 'i': i - 1})) AS x FROM ingested WHERE reason IS NULL)
+  SELECT row_no, compound_id, NULL AS reject_reason, CAST(x.i AS INTEGER) AS place, x.p.t AS time, 'Count' AS channel, x.p.a AS count FROM pz WHERE x.p.a >= 0
+  UNION ALL SELECT row_no, compound_id, NULL, CAST(x.i AS INTEGER), x.p.t, 'Scaled', x.p.b FROM pz WHERE x.p.b >= 0 UNION ALL SELECT row_no, compound_id, reason, NULL, NULL, NULL, NULL FROM ingested WHERE reason IS NOT NULL"""))
+def t06_traces(spark, d):
+    return P.scan(ingested(spark, d))
+
+
 _METRIC_IDS = {
     "a06": "baseline_mu_library", "a07": "baseline_sigma_library", "a08": "tallest_significant_peak_height_mean", "a09": "tallest_significant_snr_excess_mean",
     "a10": "tallest_significant_snr_ratio_mean", "a11": "tallest_significant_dynamic_range_mean", "a12": "fraction_with_significant_peak",

@@ -11,6 +11,7 @@ from retentia.operators import parse as P
 from retentia.operators import pedigree as D
 from retentia.operators import search as S
 from retentia.operators import splittree as T
+from retentia.operators import traces as R
 from retentia.sources import sheets
 
 NULL = "AgxNull"
@@ -135,3 +136,31 @@ def test_pedigree_orders_times(spark):
     _, o = pedigree(spark, {"": 5, "A": 10, "B": 20, "AA": 15, "AB": 15, "BA": 15, "BB": 25})
     assert {k: o[k].passed for k in ("F2_A_A", "F2_A_B", "F2_B_A", "F2_B_B")} == {"F2_A_A": True, "F2_A_B": False, "F2_B_A": False, "F2_B_B": True}
     assert o["C1_A"].chosen_rt == pytest.approx(10, abs=0.3)
+
+
+def test_times_come_from_the_first_source_that_knows(spark):
+    bbs = "bb1 string, bb2 string, bb3 string"
+    tuples = spark.createDataFrame([("A", "B", str(i), i) for i in range(4)], bbs + ", row_no int")
+    known = lambda *of: spark.createDataFrame([("A", "B", str(i), float(rt)) for i, rt in of], bbs + ", rt double")
+    sources = {"peak_pick": known((0, 1), (1, 2), (2, 3)), "pedigree": known((0, 10), (1, 20)), "metadata": known((0, 100))}
+    found = {r.bb3: (r.rt, r.rt_source) for r in T.resolve_times(tuples, sources).collect()}
+    assert found == {"0": (100.0, "metadata"), "1": (20.0, "pedigree"), "2": (3.0, "peak_pick"), "3": (None, "none")}
+    assert {r.rt_source for r in T.resolve_times(tuples, {}).collect()} == {"none"}
+
+
+def test_scan_keeps_skipped_rows_once(spark):
+    rows = [(1, "x", "v", "5:1;2, 3:4;y"), (2, None, "v", "1:1;1"), (3, "z", "v", ""), (4, "q", "v", None)]
+    out = P.scan(P.ingested(spark.createDataFrame(rows, "row_no int, id string, variant string, cell string"), P.SheetOptions())).collect()
+    assert sorted((r.row_no, r.place, r.time, r.channel, r["count"]) for r in out if r.row_no == 1) == [(1, 0, 3.0, "Count", 4.0), (1, 1, 5.0, "Count", 1.0), (1, 1, 5.0, "Scaled", 2.0)]
+    assert sorted((r.row_no, r.reject_reason, r.place) for r in out if r.row_no > 1) == [(2, "missing_id", None), (3, "missing_chromatogram", None), (4, "missing_chromatogram", None)]
+
+
+def test_analysis_is_the_peaks_with_their_baseline(spark):
+    y = [1.0, 2.0, 1.0, 60.0, 2.0, 1.0, 2.0, 1.0, 1.0, 2.0, 1.0, 1.0]
+    traces = spark.createDataFrame([("a", "Count", [float(i) for i in range(12)], y), ("b", "Count", [0.0, 1.0], [1.0, 2.0])], "compound_id string, channel string, rt array<double>, y array<double>")
+    found, peaks = R.analyse(traces).collect(), R.pick(traces).collect()
+    base = R.baselines(traces).where("compound_id = 'a'").first()
+    assert [r[:11] for r in found] == [tuple(r) for r in peaks] and len(peaks) == 1
+    assert (found[0].baseline_mu, found[0].baseline_sigma) == (base.baseline_mu, base.baseline_sigma)
+    assert [r.compound_id for r in R.failures(traces).collect()] == ["b"]
+    assert R.analyse(traces.where("1 = 0")).count() == 0
