@@ -10,8 +10,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 120) -> np.ndarray:
-    """Weights (the last is the intercept, without penalty) by accelerated gradient descent on the mean log loss."""
+    """Weights (the last is the intercept, without penalty) by accelerated gradient descent on the mean log loss; without
+    rows all are 0."""
     n, m = x.shape
+    if not n:
+        return np.zeros(m + 1)
     x = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float32)
     y = y.astype(np.float32)
     v = np.ones(m + 1, np.float32)

@@ -111,3 +111,15 @@ def test_language(spark, sf):
     assert next(r for r in found if r.page_id == 1).text_lang is None
     assert language.identify(pages.where("1 = 0"), docs).count() == 0
     assert {r.lang for r in language.identify(pages.limit(3), docs.where("1 = 0")).collect()} == {None}
+
+
+def test_logistic_of_nothing():
+    import numpy as np
+
+    assert logistic(np.zeros((0, 3)), np.zeros(0)).tolist() == [0.0] * 4
+
+
+def test_toxicity_with_a_single_label(spark):
+    docs, labels = labelled(spark, 20)
+    rows = toxicity.toxicity(docs, labels.where("doc_id = 3")).collect()
+    assert len(rows) == docs.count() and not any(r.toxic for r in rows)
