@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 #: Bytes of a text as a list of two hexadecimal digits each; CRC-32 over them by its polynomial, bit by bit.
 _BYTES = "regexp_extract_all(hex(coalesce(text, '')), '..')"
 _TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"
@@ -46,3 +48,21 @@ NEAR_DUPLICATES = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(tra
   reach AS (SELECT p AS doc_id, q AS other FROM e UNION SELECT r.doc_id, e.q FROM reach r JOIN e ON e.p = r.other),
   c AS (SELECT doc_id, least(doc_id, min(other)) AS component_id FROM reach GROUP BY 1)
   SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept FROM s LEFT JOIN c USING (doc_id)"""
+
+
+def secret_spans(rules: tuple, base: int) -> str:
+    """Spans of each rule's matches from the lengths of what stands between matches and of the matches."""
+    either = lambda m: "(" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in m.group(1)) + ")"
+    patterns = [re.sub(r"\(\(\?i:([^()]*)\)\)", either, r.pattern).replace("'", "''") for r in rules]
+    pieces = ", ".join(f"string_split_regex(t, '{p}') AS g{i}, regexp_extract_all(t, '{p}') AS m{i}, regexp_extract_all(t, '{p}', {r.measured}) AS q{i}" for i, (r, p) in enumerate(zip(rules, patterns, strict=True)))
+    length = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    spans = ", ".join(
+        f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: length(q{i}[k]) >= {r.least}), lambda k: {{'s': CAST({length(f'g{i}[1:k]')} + {length(f'm{i}[1:k-1]')} AS BIGINT), 'k': {i}, 'e': CAST({length(f'g{i}[1:k]')} + {length(f'm{i}[1:k]')} AS BIGINT)}})"
+        for i, r in enumerate(rules)
+    )
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    text = lambda x: f"array_to_string(list_transform({x}, lambda x: {kinds}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(z, lambda x: x.k = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(rules[:base]))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {pieces} FROM d),
+  s AS (SELECT doc_id, list_sort(flatten([{spans}])) AS z FROM p)
+  SELECT doc_id, {counts}, sha256({text(f"list_filter(z, lambda x: x.k < {base})")}) AS base_sha256, {text("z")} AS spans FROM s"""
