@@ -13,6 +13,8 @@ connected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -185,6 +187,43 @@ def row_components(docs: DataFrame, shingle_words: int, least_percent: int = 80,
     keyed = C.row_keyed(docs)
     signed = C.written(keyed.mapInArrow(sign(shingle_words, rows, bands), SIGNED))
     classes = C.written(signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("k").alias("rep"), F.first("bands").alias("bands")))
+    comp = linked(classes, lambda nodes: with_texts(keyed.select("k", "text"), nodes), shingle_words, least_percent)
+    by_rep = classes.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = by_rep.select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
+    out = signed.select("k", "tag", "f1", "f2", "n_shingles").join(by_class, ["f1", "f2"], "left")
+    least = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("k"))
+    as_id = lambda c: F.nullif(c, F.lit(C.NULL_ID))
+    return out.select("k", "tag", as_id(F.col("k")).alias("doc_id"), "n_shingles", as_id(least).alias("component_id"), (F.col("k") == least).alias("kept"))
+
+
+def row_groups(docs: DataFrame, shingle_words: int, least_percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """k, tag and stays of every row: of each component of sets the row of least k, then tag, and its exact repeats; and rows
+    without words. Ids link nothing here: each set is a node of its own, whatever ids its rows have."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    keyed = C.row_keyed(docs)
+    signed = C.written(keyed.mapInArrow(sign(shingle_words, rows, bands), SIGNED))
+    row = F.struct("k", "tag")
+    classes = signed.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(row).alias("row"), F.first("bands").alias("bands"))
+    classes = C.written(classes.withColumn("rep", F.monotonically_increasing_id()))  # fixed by being written
+    repeats = not signed.groupBy("k", "tag").count().where("count > 1").isEmpty()
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = C.written(classes.select("rep", F.col("row.k").alias("k"), F.col("row.tag").alias("tag")).join(nodes.toDF("rep"), "rep"))
+        few = wanted.count() <= C.BROADCAST_IDS
+        found = keyed.join(F.broadcast(wanted) if few else wanted, ["k", "tag"]).select(F.col("rep").alias("k"), "text")
+        return found.groupBy("k").agg(F.first("text").alias("text")) if repeats else found
+
+    comp = linked(classes, texts_of, shingle_words, least_percent)
+    placed = classes.select("f1", "f2", "rep", "row").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    first = placed.where("comp is not null").groupBy("comp").agg(F.min("row").alias("first"))
+    by_class = placed.join(first, "comp", "left").select("f1", "f2", F.coalesce("first", "row").alias("first"))
+    out = signed.select("k", "tag", "f1", "f2").join(by_class, ["f1", "f2"], "left")
+    return out.select("k", "tag", (F.col("first").isNull() | (row == F.col("first"))).alias("stays"))
+
+
+def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle_words: int, least_percent: int) -> DataFrame:
+    """node, comp of the classes (rep: a node, bands) that are linked. texts_of: k, text of the nodes of a table (k)."""
     member = C.written(classes.select(F.col("rep").alias("k"), F.explode("bands").alias("bucket")))
     buckets = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = C.written(member.join(buckets, "bucket"))
@@ -197,8 +236,7 @@ def row_components(docs: DataFrame, shingle_words: int, least_percent: int = 80,
         more, centres = stars(centres)
         pairs = pairs.union(more)
     pairs = C.written(pairs.distinct())
-    keyed = keyed.select("k", "text")
-    texts = with_texts(keyed, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()).repartition("k")
+    texts = texts_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()).repartition("k")
     sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     links = C.written(sides.select("a", "b", "text_a", "text_b").mapInArrow(verify(shingle_words, least_percent), "a long, b long"))
     comp = components(links)
@@ -211,24 +249,16 @@ def row_components(docs: DataFrame, shingle_words: int, least_percent: int = 80,
     once = mixed.where("parts > 1").groupBy("n", "mark").agg(F.min(F.struct("bucket", "most", "major")).alias("b"))  # one of the buckets with equal members
     open_ = C.written(placed.join(once.select("b.*", "n"), "bucket"))
     if open_.isEmpty():
-        more = links
-    else:
-        split = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
-        down, across = split(F.col("n") - F.col("most")), split(F.col("n"))
-        part = lambda of: F.pmod(F.xxhash64("k", F.lit(3)), of).cast("int")
-        every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
-        sought = open_.where("comp <> major").select("bucket", "k", "comp", F.lit(1).alias("sought"), part(down).alias("i"), every(across).alias("j"))
-        others = open_.select("bucket", "k", "comp", F.lit(0).alias("sought"), every(down).alias("i"), part(across).alias("j"))
-        here = with_texts(keyed, open_.select("k").distinct())
-        groups = sought.union(others).join(here, "k").groupBy("bucket", "i", "j")
-        more = links.union(groups.applyInPandas(compare_block(shingle_words, least_percent), "a long, b long"))
-        comp = components(more)
-    by_rep = classes.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_rep.select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
-    out = signed.select("k", "tag", "f1", "f2", "n_shingles").join(by_class, ["f1", "f2"], "left")
-    least = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("k"))
-    as_id = lambda c: F.nullif(c, F.lit(C.NULL_ID))
-    return out.select("k", "tag", as_id(F.col("k")).alias("doc_id"), "n_shingles", as_id(least).alias("component_id"), (F.col("k") == least).alias("kept"))
+        return comp
+    split = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+    down, across = split(F.col("n") - F.col("most")), split(F.col("n"))
+    part = lambda of: F.pmod(F.xxhash64("k", F.lit(3)), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    sought = open_.where("comp <> major").select("bucket", "k", "comp", F.lit(1).alias("sought"), part(down).alias("i"), every(across).alias("j"))
+    others = open_.select("bucket", "k", "comp", F.lit(0).alias("sought"), every(down).alias("i"), part(across).alias("j"))
+    here = texts_of(open_.select("k").distinct())
+    groups = sought.union(others).join(here, "k").groupBy("bucket", "i", "j")
+    return components(links.union(groups.applyInPandas(compare_block(shingle_words, least_percent), "a long, b long")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +266,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """A table like documents with the smallest doc_id of each component; documents without words stay.
+    """A table like documents with one row of each component of near-duplicate texts, that of the smallest doc_id (of several
+    texts of that id one), and its exact repeats; documents without words stay. Rows are told apart by id and text, so a row
+    that goes takes no other text of its id with it.
 
     Shingles have five words, not op7's two: a few scattered changes keep most word pairs of a document as they are, so
     two words link, and drop, documents that differ. Documents of fewer words are compared as a whole."""
-    others = row_components(docs, STAGE_WORDS).where("not kept").select("k", "tag").distinct()
+    others = row_groups(docs, STAGE_WORDS).where("not stays").select("k", "tag").distinct()
     return C.picked_rows(docs, others, "left_anti")

@@ -144,12 +144,14 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> FactorisationMachine | None:
-    """On at most SAMPLE_EACH documents of each quality, not held out, of least hash of the id."""
+    """On at most SAMPLE_EACH documents of each quality, not held out, of least hash of the id; of several rows of an id the
+    least by text."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     order = F.xxhash64("doc_id", F.lit(8))
     parts = [marked.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_EACH) for q in (0, 1)]
-    rows_in = plain(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # a bounded sample
+    rows_in = plain(docs).join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    rows_in = rows_in.groupBy("doc_id", "quality").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars")).alias("d")).select("doc_id", "quality", "d.*")  # a row for each id
 
     def run(batches):
         for batch in batches:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -42,7 +42,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sampled_features(batches):
-    """A compressed array of distinct feature hashes for each document."""
+    """The distinct feature hashes of each document."""
     for batch in batches:
         data, off = C.text_buffer(batch.column("text"))
         out = []
@@ -52,9 +52,9 @@ def sampled_features(batches):
             doc, h = doc[order], h[order]
             keep = C.changes(doc, h)
             at = np.searchsorted(doc[keep], np.arange(j - i + 1))
-            out += [C.packed(h[keep][a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            out += [h[keep][a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
         names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], [*names, "features"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.int64()))], [*names, "features"])
 
 
 @dataclass
@@ -73,49 +73,67 @@ class Chain:
         return out
 
 
-def association(x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """G statistic of each feature with a 0/1 category, from its counts in the positive (x) and in all documents."""
-    n, p = len(y), y.sum()
-    cells = [(x, p, counts), (p - x, p, n - counts), (counts - x, n - p, counts), (n - p - counts + x, n - p, n - counts)]
-    total = np.zeros(len(x))
-    for seen, row, column in cells:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            total += np.nan_to_num(seen * np.log(seen * n / (row * column)))
+def association(positive: Column, seen: Column, y: int, n: int) -> Column:
+    """G statistic of a feature with a 0/1 category, from its counts in the positive and in all of n documents, y positive."""
+    positive, seen = positive.cast("double"), seen.cast("double")
+    cells = [(positive, y, seen), (y - positive, y, n - seen), (seen - positive, n - y, seen), (n - y - seen + positive, n - y, n - seen)]
+    total = F.lit(0.0)
+    for count, row, column in cells:
+        total = total + F.when((count > 0) & (column > 0), count * F.log(count * n / (column * row))).otherwise(0.0) if row else total
     return 2 * total
 
 
+def chosen_features(sample: DataFrame, names: list[str]) -> np.ndarray:
+    """The FEATURES features (hashes, ascending) most associated with the categories, the best of each by turns, of those that
+    three documents have. Features are counted in Spark; FEATURES of each category reach the driver."""
+    totals = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
+    counts = sample.select(*names, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("seen"), *(F.sum(n).alias(n) for n in names))
+    counts = C.written(counts.where("seen >= 3"))
+    turns: dict[int, int] = {}
+    for n in names:
+        g = association(F.col(n), F.col("seen"), totals[n], totals["n"])
+        best = counts.select("feature", F.round(g, 9).alias("g")).orderBy(F.desc("g"), "feature").limit(FEATURES).collect()
+        for rank, r in enumerate(best):
+            turns[r.feature] = min(rank, turns.get(r.feature, rank))
+    best = sorted(turns, key=lambda f: (turns[f], f))[:FEATURES]
+    return np.sort(np.array(best, np.int64).view(U64))
+
+
+def known_features(vocabulary: np.ndarray):
+    """A mapInArrow function: each document's places in the vocabulary."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.flatnonzero(np.isin(vocabulary, np.array(f.as_py(), np.int64).view(U64))) for f in batch.column("features")]
+            names = [n for n in batch.schema.names if n != "features"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.int64()))], [*names, "places"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain:
     """categories: name -> SQL condition over `labels`, in the order of the chain; the last one balances the sample.
 
-    Fitted on at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled documents, those of least hash of the id."""
+    Fitted on at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled documents, those of least hash of the id, one text of each id
+    (the least). What reaches the driver is bounded by that and by FEATURES, whatever the texts' lengths and repeats."""
     names = list(categories)
     marked = labels.select("doc_id", *(F.expr(f"cast({c} as int)").alias(n) for n, c in categories.items())).dropna()
     marked = marked.groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
     order = F.xxhash64("doc_id", F.lit(11))
     last = F.col(names[-1])
     chosen = marked.where(last == 1).orderBy(order, "doc_id").limit(SAMPLE_POSITIVE).union(marked.where(last == 0).orderBy(order, "doc_id").limit(SAMPLE_NEGATIVE))
-    rows_in = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", *names, "text")  # a bounded sample
-    kind = ", ".join(["doc_id long", *(f"{n} int" for n in names), "features binary"])
-    rows = sorted(rows_in.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(sampled_features, kind).collect(), key=lambda r: (r.doc_id, r.features))
+    rows_in = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows_in = rows_in.groupBy(F.col("doc_id").cast("long").alias("doc_id"), *names).agg(F.min("text").alias("text"))  # an id's texts: the least
+    kind = ", ".join(["doc_id long", *(f"{n} int" for n in names), "features array<long>"])
+    sample = C.written(rows_in.mapInArrow(sampled_features, kind))
+    vocabulary = chosen_features(sample, names)
+    rows = sorted(sample.mapInArrow(known_features(vocabulary), kind.replace("features", "places")).collect(), key=lambda r: r.doc_id)  # FEATURES places a row at most
     if not rows:
         return Chain(names, np.zeros(0, U64), [np.append(np.zeros(c), -30.0) for c in range(len(names))])
     y = np.array([[r[n] for n in names] for r in rows], float)
-    sets = [C.unpacked(bytes(r.features), "<u8")[0] for r in rows]
-    doc, h = np.repeat(np.arange(len(rows)), [len(s) for s in sets]), np.concatenate(sets)
-    distinct, at, counts = np.unique(h, return_inverse=True, return_counts=True)
-    often = counts >= 3
-    score = np.zeros(len(distinct))
-    for c in range(len(names)):
-        g = association(np.bincount(at, weights=y[doc, c], minlength=len(distinct)), counts.astype(float), y[:, c])
-        rank = np.empty(len(g), np.int64)
-        rank[np.argsort(-np.where(often, g, -1), kind="stable")] = np.arange(len(g))
-        score = np.maximum(score, np.where(often, 1.0 / (1 + rank), 0))  # the best of each category by turns
-    best = np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int(often.sum()))])
-    place = np.full(len(distinct), -1)
-    place[best] = np.arange(len(best))
-    x = np.zeros((len(rows), len(best)), np.float32)
-    known = place[at] >= 0
-    x[doc[known], place[at][known]] = 1
+    x = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r.places] = 1
     fold = np.arange(len(rows)) % FOLDS
     weights, earlier = [], np.zeros((len(rows), 0))
     for c in range(len(names)):
@@ -127,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> Chain
                 w = logistic(with_earlier[fold != f], y[fold != f, c])
                 p[fold == f] = sigmoid(with_earlier[fold == f] @ w[:-1] + w[-1])
             earlier = np.hstack([earlier, p[:, None]])
-    return Chain(names, distinct[best], weights)
+    return Chain(names, vocabulary, weights)
 
 
 def score(chain):
