@@ -175,7 +175,8 @@ def positions_fit(replicates_: DataFrame, baselines: DataFrame, sigma: float, lo
     var = mu + mu * mu / F.coalesce("r", F.lit(G.NO_DISPERSION))
     points = live.join(baselines, "key").select("cls", mu.alias("m"), var.alias("v"), F.explode(F.arrays_zip("rt", "y")).alias("p"))
     points = points.select("cls", F.col("p.rt").alias("t"), ((F.col("p.y") - F.col("m")) / F.col("v")).alias("a"), (1 / F.col("v")).alias("b"))
-    points = stored_table(points.join(ends, "cls"), f"{shared_dir(spark)}/{uuid.uuid4().hex}-points")
+    stored = uuid.uuid4().hex
+    points = stored_table(points.join(ends, "cls"), f"{shared_dir(spark)}/{stored}-points")
 
     def score(places: DataFrame) -> DataFrame:
         """places: points with `at`; u and info by class and `k`."""
@@ -183,23 +184,23 @@ def positions_fit(replicates_: DataFrame, baselines: DataFrame, sigma: float, lo
         near = F.abs(F.col("t") - F.col("at")) <= 4 * sigma
         return places.where(near).groupBy("cls", "k").agg(F.sum(phi * F.col("a")).alias("u"), F.sum(phi * phi * F.col("b")).alias("info"))
 
-    # places 0 .. last on the grid, and one more at `high` itself, the last place's neighbour
-    place = lambda k: F.when(k > F.col("last"), F.col("high")).otherwise(F.lit(low) + F.col("step") * k)
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - 4 * sigma - low) / F.col("step")).cast("int") - 1)
     until = F.least(F.col("last"), F.floor((F.col("t") + 4 * sigma - low) / F.col("step")).cast("int") + 1)
-    reach = F.concat(F.when(until >= first, F.sequence(first, until)).otherwise(F.array().cast("array<int>")), F.when(F.col("t") >= F.col("high") - 4 * sigma, F.array(F.col("last") + 1)).otherwise(F.array().cast("array<int>")))
-    grid = score(points.withColumn("k", F.explode(reach)).withColumn("at", place(F.col("k"))))
-    every = ends.select("cls", "last", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("k"))
+    place = F.lit(low) + F.col("step") * F.col("k")
+    grid = score(points.where(until >= first).withColumn("k", F.explode(F.sequence(first, until))).withColumn("at", place))
+    every = ends.select("cls", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
     grid = every.join(grid, ["cls", "k"], "left").na.fill(0.0, ["u", "info"])
-    grid = stored_table(grid, f"{shared_dir(spark)}/{uuid.uuid4().hex}-grid")
-    best = grid.where("k <= last").groupBy("cls").agg(F.max_by(F.struct("k", "u", "info"), F.struct("u", -F.col("k"))).alias("b")).select("cls", F.col("b.k").alias("k"), "b.u", "b.info")
-    side = lambda shift, name: grid.select("cls", (F.col("k") - shift).alias("k"), F.col("u").alias(name))
-    best = best.join(side(-1, "left_u"), ["cls", "k"], "left").join(side(1, "right_u"), ["cls", "k"], "left").join(ends, "cls")
-    at = place(F.col("k"))
+    best = grid.groupBy("cls").agg(F.max_by(F.struct("k", "u", "info"), F.struct("u", -F.col("k"))).alias("b")).select("cls", F.col("b.k").alias("k"), "b.u", "b.info")
+    best = stored_table(best.join(ends, "cls").withColumn("at", place), f"{shared_dir(spark)}/{stored}-best")
+    # the neighbours lie a step from the best place as it was rounded, which need not be where the grid has its next places
+    beside = [F.struct(F.lit(0).alias("k"), F.greatest(F.col("at") - F.col("step"), F.lit(low)).alias("at")), F.struct(F.lit(1).alias("k"), F.least(F.col("at") + F.col("step"), F.col("high")).alias("at"))]
+    sides = score(points.join(best.select("cls", F.explode(F.array(*beside)).alias("s")).select("cls", "s.*"), "cls"))
+    side = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("u"))), F.lit(0.0))
+    best = best.join(sides.groupBy("cls").agg(side(0).alias("left_u"), side(1).alias("right_u")), "cls", "left").na.fill(0.0, ["left_u", "right_u"])
     bend = F.col("left_u") - 2 * F.col("u") + F.col("right_u")
     shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (F.col("left_u") - F.col("right_u")) / bend))
-    inner = (F.col("k") > 0) & (at < F.col("high")) & (bend < -1e-12)
-    best = best.select("cls", "u", "info", "n_replicates", at.alias("grid_at"), F.when(inner, at + shift * F.col("step")).alias("at"))
+    inner = (F.greatest(F.col("at") - F.col("step"), F.lit(low)) < F.col("at")) & (F.col("at") < F.least(F.col("at") + F.col("step"), F.col("high"))) & (bend < -1e-12)
+    best = best.select("cls", "u", "info", "n_replicates", F.col("at").alias("grid_at"), F.when(inner, F.col("at") + shift * F.col("step")).alias("at"))
     top = score(points.join(best.select("cls", "at"), "cls").withColumn("k", F.lit(0))).select("cls", F.col("u").alias("top_u"), F.col("info").alias("top_info"))
     out = best.join(top, "cls", "left")
     better = F.coalesce(F.col("top_u") > F.col("u"), F.lit(False))
@@ -207,7 +208,10 @@ def positions_fit(replicates_: DataFrame, baselines: DataFrame, sigma: float, lo
     out = out.select("cls", pick("at", "grid_at").alias("position"), pick("top_u", "u").alias("u"), pick("top_info", "info").alias("info"), "n_replicates")
     z = F.when(F.col("info") > 0, F.col("u") / F.sqrt("info")).otherwise(0.0)
     p = F.when(z > 0, tails.normal_tail(z)).otherwise(0.5)
-    return out.select("cls", "position", "u", "info", z.alias("z"), p.alias("p_value"), "n_replicates")
+    out = stored_table(out.select("cls", "position", "u", "info", z.alias("z"), p.alias("p_value"), "n_replicates"), f"{shared_dir(spark)}/{stored}")
+    for name in ("points", "best"):
+        discard(spark, f"{shared_dir(spark)}/{stored}-{name}")
+    return out
 
 
 def node_status(passed: Column, insufficient: Column, tier: Column, kind: Column) -> Column:
