@@ -51,8 +51,8 @@ def sampled_features(batches):
             order = np.lexsort((h, doc))
             doc, h = doc[order], h[order]
             keep = C.changes(doc, h)
-            at = np.searchsorted(doc[keep], np.arange(j - i + 1))
-            out += [h[keep][a:b].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            at, h = np.searchsorted(doc[keep], np.arange(j - i + 1)), h[keep].view(np.int64)
+            out += [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.int64()))], [*names, "features"])
 
