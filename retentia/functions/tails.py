@@ -81,14 +81,89 @@ def normal_upper_tail(z: float) -> float:
     return min(1.0, max(0.0, 0.5 * math.erfc(z / math.sqrt(2))))
 
 
+def log_gammas(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x.tolist()])
+
+
+def not_zero(x: np.ndarray) -> np.ndarray:
+    return np.where(x == 0, TINY, x)
+
+
+def upper_gammas(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """upper_gamma of arrays (x above 0): series and continued fractions run side by side, each until it stands still."""
+    scale = np.exp(a * np.log(x) - x - log_gammas(a))
+    out = np.zeros(len(a))
+    low = np.flatnonzero(x < a + 1)
+    n, term = a[low].copy(), 1.0 / a[low]
+    total = term.copy()
+    live = np.arange(len(low))
+    while len(live):
+        n[live] += 1
+        term[live] *= x[low[live]] / n[live]
+        total[live] += term[live]
+        live = live[np.abs(term[live]) > np.abs(total[live]) * 1e-16]
+    out[low] = 1.0 - total * scale[low]
+    far = np.flatnonzero(x >= a + 1)
+    b = x[far] + 1 - a[far]
+    c, d = np.full(len(far), 1 / TINY), 1 / b
+    h = d.copy()
+    live = np.arange(len(far))
+    for i in range(1, 10_000):
+        if not len(live):
+            break
+        top = -i * (i - a[far[live]])
+        b[live] += 2
+        d[live] = 1 / not_zero(top * d[live] + b[live])
+        c[live] = not_zero(b[live] + top / c[live])
+        h[live] *= d[live] * c[live]
+        live = live[np.abs(d[live] * c[live] - 1) >= 1e-15]
+    out[far] = h * scale[far]
+    return out
+
+
+def lower_betas(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """lower_beta of arrays, its continued fractions side by side."""
+    out = (x >= 1).astype(float)
+    inside = np.flatnonzero((x > 0) & (x < 1))
+    a, b, x = a[inside], b[inside], x[inside]
+    turned = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    front = np.exp(log_gammas(a + b) - log_gammas(a) - log_gammas(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    c, d = np.ones(len(a)), 1 / not_zero(1 - (a + b) * x / (a + 1))
+    h = d.copy()
+    live = np.arange(len(a))
+    for m in range(1, 10_000):
+        if not len(live):
+            break
+        p, q, z = a[live], b[live], x[live]
+        for top in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d[live] = 1 / not_zero(1 + top * d[live])
+            c[live] = not_zero(1 + top / c[live])
+            h[live] *= c[live] * d[live]
+        live = live[np.abs(c[live] * d[live] - 1) >= 1e-15]
+    lower = front * h
+    out[inside] = np.where(turned, 1.0 - lower, lower)
+    return out
+
+
 def tails_at_least(k: np.ndarray, mu: np.ndarray, r: np.ndarray) -> np.ndarray:
     """p_at_least for arrays; NaN in k or mu gives NaN, NaN in r means Poisson. Equal arguments are worked out once: counts
     are whole numbers over few baselines."""
     out = np.full(len(k), np.nan)
     known = ~(np.isnan(k) | np.isnan(mu))
-    if known.any():
-        rows, back = np.unique(np.stack([k[known], mu[known], np.nan_to_num(r[known], nan=-1.0)], 1), axis=0, return_inverse=True)
-        out[known] = np.array([p_at_least(a, b, c if c >= 0 else None) for a, b, c in rows.tolist()])[back.ravel()]
+    if not known.any():
+        return out
+    rows, back = np.unique(np.stack([k[known], mu[known], np.nan_to_num(r[known], nan=-1.0)], 1), axis=0, return_inverse=True)
+    k, mu, r = rows.T
+    p = np.where(k <= 0, 1.0, 0.0)
+    live = np.flatnonzero((k > 0) & (mu > 0))
+    n, m, size = np.maximum(1, np.floor(k[live] + 0.5)), mu[live], r[live]
+    spread = np.isfinite(size) & (size > 1e-6)
+    below = np.zeros(len(live))
+    below[spread] = lower_betas(size[spread], n[spread], size[spread] / (size[spread] + m[spread]))
+    below[~spread] = upper_gammas(n[~spread], m[~spread])
+    p[live] = np.clip(1.0 - below, 0.0, 1.0)
+    out[known] = p[back.ravel()]
     return out
 
 

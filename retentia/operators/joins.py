@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
+from ..sources.sheets import discard, shared_dir, stored_table
 
 
 def attach_positions(traces: DataFrame, compounds: DataFrame, variants: list[str] | None = None) -> DataFrame:
@@ -95,14 +98,18 @@ def isoform_delta(rows: DataFrame, linear: str, cyclic: str) -> DataFrame:
 
 def broadest_agreement(peaks: DataFrame, tolerance: float) -> DataFrame:
     """peaks: cls, compound_id, rt. Per class the time near which most replicates have a peak (earliest on ties), and each
-    replicate's nearest peak to it."""
+    replicate's nearest peak to it. The peaks are stored once, as they are read three times."""
+    where = f"{shared_dir(peaks.sparkSession)}/{uuid.uuid4().hex}"
+    peaks = stored_table(peaks, f"{where}-peaks")
     cell = F.floor(F.col("rt") / tolerance)  # what is within the tolerance lies in the same cell or a neighbour
     places = peaks.select("cls", F.col("rt").alias("pos"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
     near = lambda c: F.abs(F.col("rt") - F.col(c)) <= tolerance
     support = places.join(peaks.withColumn("cell", cell), ["cls", "cell"]).where(near("pos")).groupBy("cls", "pos").agg(F.count_distinct("compound_id").alias("n"))
     center = support.groupBy("cls").agg(F.min_by("pos", F.struct(-F.col("n"), F.col("pos"))).alias("center"))
     best = F.min_by(F.when(near("center"), F.col("rt")), F.struct(~near("center"), F.abs(F.col("rt") - F.col("center")), F.col("rt")))
-    return peaks.join(center, "cls").groupBy("cls", "center", "compound_id").agg(best.alias("pick"))
+    out = stored_table(peaks.join(center, "cls").groupBy("cls", "center", "compound_id").agg(best.alias("pick")), where)
+    discard(peaks.sparkSession, f"{where}-peaks")
+    return out
 
 
 def agree(a: Column, b: Column) -> Column:

@@ -1,13 +1,16 @@
-"""Operators on traces: peaks, baselines, signal statistics. Numerical kernels run on Arrow batches of whole traces."""
+"""Operators on traces: peaks, baselines, signal statistics. Numerical kernels run on Arrow batches of whole traces, all traces
+of a batch side by side."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ragged as R
 from ..functions import signal as G
 
 PEAKS = "compound_id string, channel string, peak int, rt double, intensity double, area double, prominence double, p_value double, pct_area double, left_rt double, right_rt double"
@@ -22,6 +25,24 @@ def arrays(batch: pa.RecordBatch):
         yield i, rt[i].values.to_numpy(zero_copy_only=False).astype(float), y[i].values.to_numpy(zero_copy_only=False).astype(float)
 
 
+def flat(batch: pa.RecordBatch):
+    """(range of rows, rt, y, offsets) of the traces of a batch, some at a time."""
+    size = pc.fill_null(pc.list_value_length(batch.column("rt")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    every = np.append(0, np.cumsum(size))
+    rt, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("rt", "y"))
+    for i, j in R.chunks(every):
+        part = slice(every[i], every[j])
+        yield i, j, rt[part], y[part], every[i : j + 1] - every[i]
+
+
+def batch_of(schema: str, *columns) -> pa.RecordBatch:
+    """Columns by a schema's order: Arrow arrays, or numpy arrays in which NaN stands for null."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    made = [c if isinstance(c, pa.Array) else pa.array(c, kinds[k], from_pandas=True) for c, (_, k) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(made, [n for n, _ in fields])
+
+
 def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
     fields = [f.strip().split(" ") for f in schema.split(",")]
@@ -32,36 +53,50 @@ def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def picker(kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None):
     """A function from many traces to their peaks."""
     if kind == "modern":
-        return lambda traces: [G.pick_peaks(rt, y, alpha) for rt, y in traces]
+        return lambda traces: R.pick_lists(traces, alpha)
     return lambda traces: G.pick_gaussian(traces, options or G.GaussianOptions())
 
 
 def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """The peaks of every trace of three points or more, numbered in order of time, with each one's share of the area of all
     that were found; then only those of enough prominence and share."""
-    return _picked(traces, kind, alpha, options, min_prominence, min_pct_area, PEAKS, lambda y: ())
+    if kind == "modern":
+        return _picked(traces, alpha, min_prominence, min_pct_area, PEAKS)
+    return _picked_gaussian(traces, options or G.GaussianOptions(), PEAKS)
 
 
 def analyse(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """The peaks of pick, each with its trace's baseline, in one pass over the traces. What can't be analysed: failures."""
-    return _picked(traces, kind, alpha, options, min_prominence, min_pct_area, ANALYSED, G.clipped_baseline)
+    if kind == "modern":
+        return _picked(traces, alpha, min_prominence, min_pct_area, ANALYSED)
+    return _picked_gaussian(traces, options or G.GaussianOptions(), ANALYSED)
 
 
-def _picked(traces: DataFrame, kind: str, alpha: float, options, min_prominence: float, min_pct_area: float, schema: str, of_trace) -> DataFrame:
-    find = picker(kind, alpha, options)
+def _picked(traces: DataFrame, alpha: float, min_prominence: float, min_pct_area: float, schema: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            ids, channels = batch.column("compound_id"), batch.column("channel")
+            for i, _, rt, y, off in flat(batch):
+                p = R.pick(y, off, alpha)
+                pct, good = p.share(), p.of_quality(min_prominence, min_pct_area)
+                p, pct = p.where(good), pct[good]
+                number = np.arange(1, len(pct) + 1) - np.searchsorted(p.trace, p.trace)
+                row = pa.array(i + p.trace)
+                more = (x[p.trace] for x in R.clipped(y, off)) if schema == ANALYSED else ()
+                yield batch_of(schema, ids.take(row), channels.take(row), number, rt[p.apex], y[p.apex], p.area, p.prominence, p.p_value, pct, rt[p.left], rt[p.right], *more)
 
+    return traces.where(F.size("rt") >= 3).select("compound_id", "channel", "rt", "y").mapInArrow(run, schema)
+
+
+def _picked_gaussian(traces: DataFrame, options: G.GaussianOptions, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
             rows = []
             series = [(rt, y) for _, rt, y in arrays(batch)]
-            for i, peaks in enumerate(find(series)):
-                if not peaks:
-                    continue
-                more = of_trace(series[i][1])
+            for i, peaks in enumerate(G.pick_gaussian(series, options)):
+                more = G.clipped_baseline(series[i][1]) if schema == ANALYSED and peaks else ()
                 total = sum(p.area for p in peaks)
-                if kind == "modern":
-                    peaks = G.keep_quality(peaks, min_prominence, min_pct_area, False)
                 for n, p in enumerate(peaks, 1):
                     rows.append((ids[i], channels[i], n, p.rt, p.intensity, p.area, p.prominence, p.p_value, 100 * p.area / total if total > 0 else 0.0, p.left_rt, p.right_rt, *more))
             yield rows_batch(rows, schema)
@@ -77,8 +112,8 @@ def failures(traces: DataFrame) -> DataFrame:
 def baselines(traces: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
-            yield rows_batch([(ids[i], channels[i], *G.clipped_baseline(y)) for i, _, y in arrays(batch)], BASELINES)
+            for i, j, _, y, off in flat(batch):
+                yield batch_of(BASELINES, batch.column("compound_id").slice(i, j - i), batch.column("channel").slice(i, j - i), *R.clipped(y, off))
 
     return traces.select("compound_id", "channel", "rt", "y").mapInArrow(run, BASELINES)
 
@@ -110,12 +145,11 @@ def apexes(traces: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
-            rows = []
-            for i, rt, y in arrays(batch):
-                for a in G.local_maxima(y).tolist():
-                    rows.append((ids[i], channels[i], float(rt[a]), G.prominence(y, a), *G.local_baseline(y, a, *G.valley_bounds(y, a))))
-            yield rows_batch(rows, APEXES)
+            for i, _, rt, y, off in flat(batch):
+                a = R.local_maxima(y, off)
+                row = pa.array(i + R.lanes(off)[a])
+                around = R.local_baselines(y, off, a, *R.valley_bounds(y, off, a))
+                yield batch_of(APEXES, batch.column("compound_id").take(row), batch.column("channel").take(row), rt[a], R.prominence(y, off, a), *around)
 
     return traces.select("compound_id", "channel", "rt", "y").mapInArrow(run, APEXES)
 
@@ -128,27 +162,39 @@ def nearest_sample(traces: DataFrame, target: float) -> DataFrame:
     return p.groupBy("compound_id", "channel").agg(best).select("compound_id", "channel", F.col("b.place").alias("place"), F.col("b.t").alias("time"))
 
 
-def signal_stats(traces: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Per trace of three points or more: baseline, peak count, prominences, and the tallest peak against the baseline."""
-    base = baselines(traces.where(F.size("rt") >= 3))
-    first = traces.select("compound_id", "channel", F.get("rt", F.lit(0)).alias("first_rt"))
-    best = peaks.groupBy("compound_id", "channel").agg(
-        F.count("*").alias("peak_count"),
-        F.max("prominence").alias("max_prominence"),
-        F.median("prominence").alias("median_prominence"),
-        F.max("intensity").alias("height"),
-        F.min_by("rt", F.struct(-F.col("intensity"), F.col("rt"))).alias("tall_rt"),
-    )
+MEASURED = "compound_id string, channel string, baseline_mu double, baseline_sigma double, first_rt double, peak_count long, max_prominence double, median_prominence double, height double, tall_rt double"
+
+
+def measured(batches, alpha: float):
+    """Of each trace its baseline, and of its peaks number, prominences and the tallest (the earliest on ties)."""
+    for batch in batches:
+        for i, j, rt, y, off in flat(batch):
+            n, p = j - i, R.pick(y, off, alpha)
+            mu, sigma, _ = R.clipped(y, off)
+            count = np.bincount(p.trace, minlength=n)
+            some, first = np.flatnonzero(count), np.cumsum(count) - count
+            most, middle, height, tall = (np.full(n, np.nan) for _ in range(4))
+            by_prominence = p.prominence[np.lexsort((p.prominence, p.trace))]
+            low, high = by_prominence[(first + (count - 1) // 2)[some]], by_prominence[(first + count // 2)[some]]
+            most[some], middle[some] = by_prominence[(first + count - 1)[some]], (low + high) / 2
+            tallest = np.lexsort((rt[p.apex], -y[p.apex], p.trace))[first[some]]
+            height[some], tall[some] = y[p.apex[tallest]], rt[p.apex[tallest]]
+            yield batch_of(MEASURED, batch.column("compound_id").slice(i, n), batch.column("channel").slice(i, n), mu, sigma, rt[off[:-1]], count, most, middle, height, tall)
+
+
+def signal_stats(traces: DataFrame, alpha: float = 0.001) -> DataFrame:
+    """Per trace of three points or more: baseline, peak count, prominences, and the tallest peak against the baseline, in one
+    pass over the traces."""
     keys = ["compound_id", "channel"]
-    out = base.join(first, keys).join(best, keys, "left")
+    out = traces.where(F.size("rt") >= 3).select(*keys, "rt", "y").mapInArrow(lambda batches: measured(batches, alpha), MEASURED)
     height = F.coalesce("height", F.lit(0.0))
     excess = height - F.col("baseline_mu")
     return out.select(
         *keys,
         "baseline_mu",
         "baseline_sigma",
-        F.coalesce("peak_count", F.lit(0)).alias("peak_count"),
-        (F.coalesce("peak_count", F.lit(0)) > 0).alias("has_peak"),
+        "peak_count",
+        (F.col("peak_count") > 0).alias("has_peak"),
         F.coalesce("max_prominence", F.lit(0.0)).alias("max_prominence"),
         "median_prominence",
         height.alias("tallest_peak_height"),

@@ -86,8 +86,7 @@ def library_peaks(spark, d, **options):
 
 
 def library_stats(spark, d):
-    tr = library_traces(spark, d)
-    return T.signal_stats(tr, T.pick(tr, alpha=ALPHA))
+    return T.signal_stats(library_traces(spark, d), ALPHA)
 
 
 @query("w02_local_maxima", L.sql("points", f"{TR}, {MAXIMA} SELECT compound_id, channel, rt[i] AS time, h AS count FROM mx"))
@@ -195,9 +194,7 @@ def p22(spark, d):
 
 @query("t04_peak_analysis", L.sql("points", f"{PEAKS_SQL}, {BASE_SQL} SELECT p.compound_id, p.channel, count(*) AS n_peaks, round(sum(area), 6) AS area, round(any_value(mu), 6) AS baseline_mu FROM peaks p JOIN bl b ON b.compound_id = p.compound_id AND b.channel = p.channel GROUP BY 1, 2"))
 def t04(spark, d):
-    tr = library_traces(spark, d)
-    joined = T.pick(tr, alpha=ALPHA).join(T.baselines(tr), ["compound_id", "channel"])
-    return joined.groupBy("compound_id", "channel").agg(F.count("*").alias("n_peaks"), F.round(F.sum("area"), 6).alias("area"), F.round(F.first("baseline_mu"), 6).alias("baseline_mu"))
+    return T.analyse(library_traces(spark, d), alpha=ALPHA).groupBy("compound_id", "channel").agg(F.count("*").alias("n_peaks"), F.round(F.sum("area"), 6).alias("area"), F.round(F.first("baseline_mu"), 6).alias("baseline_mu"))
 
 
 @query("t04_failures", L.sql("parts", "SELECT compound_id, channel, 'fewer than 3 points' AS error FROM parts GROUP BY 1, 2 HAVING count(*) < 3"))
