@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,17 +86,43 @@ def _traces(rows: pd.DataFrame):
     return [(np.asarray(rt, float), np.asarray(y, float)) for rt, y in zip(rows["rt"], rows["y"], strict=True)]
 
 
-def class_consensus(tolerance: float, find, alpha: float, min_prominence: float = 0.0, min_pct_area: float = 0.0):
-    """Group function of one node: agreement of its replicates past the node's threshold."""
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
+OUTCOME_FIELDS = pa.schema([(f.strip().split(" ")[0], _ARROW[f.strip().split(" ")[1]]) for f in OUTCOME.split(", ")])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        traces = _traces(rows)
-        rescue = rows["kind"].iloc[0] == "class"
-        peaks = [G.keep_quality(find(rt, y), min_prominence, min_pct_area, rescue) for rt, y in traces]
-        o = G.consensus(traces, peaks, float(rows["threshold"].iloc[0]), tolerance, alpha)
-        return pd.DataFrame([_as_row(rows["node_id"].iloc[0], o)])
 
-    return run
+def consensus_of(replicates_: DataFrame, find_many, tolerance: float, alpha: float, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
+    """Outcomes of nodes: agreement of their replicates past the node's threshold. replicates_: node_id, kind, ord, threshold,
+    rt, y; find_many: from many traces to the peaks of each.
+
+    Nodes are dealt and sorted by id, so a task settles all nodes of a batch at once; the batch's last node, whose rows may go
+    on, waits for the next batch. A node has no more members than there are ways to place its blocks."""
+
+    def settle(rows: pa.Table):
+        ids, kinds, thresholds = (rows.column(c).to_pylist() for c in ("node_id", "kind", "threshold"))
+        series = [tuple(rows.column(c)[i].values.to_numpy(zero_copy_only=False).astype(float) for c in ("rt", "y")) for i in range(len(ids))]
+        found = find_many(series)
+        starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
+            peaks = [G.keep_quality(p, min_prominence, min_pct_area, kinds[a] == "class") for p in found[a:b]]
+            out.append(_as_row(ids[a], G.consensus(series[a:b], peaks, float(thresholds[a]), tolerance, alpha)))
+        return pa.RecordBatch.from_pylist(out, schema=OUTCOME_FIELDS)
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            ids = rows.column("node_id").to_pylist()
+            cut = ids.index(ids[-1]) if ids else 0
+            if cut:
+                yield settle(rows.slice(0, cut))
+            waiting = rows.slice(cut)
+        if waiting is not None and len(waiting):
+            yield settle(waiting)
+
+    rows = replicates_.select("node_id", "kind", "ord", "threshold", "rt", "y")
+    return rows.repartition("node_id").sortWithinPartitions("node_id", "ord").mapInArrow(run, OUTCOME)
 
 
 def root_outcome(find):
@@ -138,13 +166,131 @@ def evaluate(members_: DataFrame, traces: DataFrame, tolerance: float, find, alp
             singles = every.where((F.col("tier") == 1) & ~cassette).join(outcomes.where("passed and chosen_rt is not null"), "node_id").select(F.col("class")[0].alias("component"), F.col("chosen_rt").alias("rt"))
             gate = J.raise_for_cassettes(gate, wanted.where("kind = 'class'"), singles)
         gated = replicates(members_.join(gate, "node_id"), traces)
-        found = gated.groupBy("node_id").applyInPandas(class_consensus(tolerance, find, alpha, min_prominence, min_pct_area), OUTCOME)
+        found = consensus_of(gated, lambda traces: [find(rt, y) for rt, y in traces], tolerance, alpha, min_prominence, min_pct_area)
         outcomes = outcomes.unionByName(stored_table(found, f"{folder}-{i}"))
     for name in ("members", "traces", "edges"):  # outcomes stand on their own
         discard(spark, f"{folder}-{name}")
     return outcomes
 
 
+def block_ranks(rows: DataFrame, columns: list[str] = BBS) -> DataFrame:
+    """block, ranks: its rank in the alphabet of each position from the N terminus, null where that hasn't got it."""
+    p = rows.select(F.posexplode(n_to_c(columns)).alias("position", "block")).where(F.col("block") != K.NULL).distinct()
+    p = p.withColumn("rank", F.row_number().over(W.partitionBy("position").orderBy("block")))
+    return p.groupBy("block").agg(F.array(*(F.max(F.when(F.col("position") == i, F.col("rank"))) for i in range(len(columns)))).alias("ranks"))
+
+
+def placed(classes: DataFrame, tier: int, n: int) -> DataFrame:
+    """The members of classes (class, ranks: of each of its blocks, others kept): ord and key of each way to place the blocks,
+    in their order, at positions whose alphabets have them. They come in order of ranks, the null token last, as in members."""
+    options = []
+    for at in combinations(range(n), tier):
+        rank = {p: F.col("ranks")[j][p] for j, p in enumerate(at)}
+        name = {p: F.col("class")[j] for j, p in enumerate(at)}
+        order = F.array(*(rank.get(p, F.lit(2**30)) for p in range(n))).alias("order")
+        member = F.struct(order, F.concat_ws("|", *(name.get(p, F.lit(K.NULL)) for p in range(n))).alias("key"))
+        options.append(F.when(reduce(lambda x, y: x & y, (r.isNotNull() for r in rank.values()), F.lit(True)), member))
+    every = F.array_sort(F.array_compact(F.array(*options)))
+    rest = [c for c in classes.columns if c != "ranks"]
+    return classes.select(*rest, F.posexplode(every).alias("ord", "m")).select(*rest, "ord", "m.key")
+
+
+def grown(survivors: DataFrame, tier: int) -> DataFrame:
+    """class, ranks, threshold of the classes of `tier` blocks all of whose classes with one block less survived (class,
+    ranks, chosen_rt); the threshold is the latest of these.
+
+    Two survivors make a candidate where one without its first block is the other without its last. Single blocks have nothing
+    in common to be joined by: all their pairs are candidates, and are dealt by salt."""
+    shared = lambda first: F.array_join(F.slice("class", first, tier - 2), "|") if tier > 2 else F.lit("")
+    parts = int(survivors.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tier == 2 else 1
+    left = survivors.select(shared(2).alias("shared"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("salt"), "class", "ranks")
+    right = survivors.select(shared(1).alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), F.slice("class", -1, 1).alias("last"), F.slice("ranks", -1, 1).alias("last_ranks"))
+    made = left.join(right, ["shared", "salt"]).select(F.concat("class", "last").alias("class"), F.concat("ranks", "last_ranks").alias("ranks"))
+    up = made.select("class", "ranks", F.explode(K.parents(F.col("class"))).alias("parent")).withColumn("parent", F.array_join("parent", "|"))
+    known = survivors.select(F.array_join("class", "|").alias("parent"), "chosen_rt")
+    met = up.join(known, "parent").groupBy(F.array_join("class", "|").alias("name")).agg(F.first("class").alias("class"), F.first("ranks").alias("ranks"), F.count("*").alias("n"), F.max("chosen_rt").alias("threshold"))
+    return met.where(F.col("n") == F.size(K.parents(F.col("class")))).select("class", "ranks", "threshold")
+
+
+def evaluate_library(rows: DataFrame, traces: DataFrame, tolerance: float, find_many, alpha: float = 0.001, min_prominence: float = 0.0, min_pct_area: float = 0.0, columns: list[str] = BBS) -> DataFrame:
+    """Outcomes (OUTCOME) of all nodes of a library that aren't pruned, without ever spelling out the library: as frequent
+    itemsets grow, a tier's classes are made of the classes of the tier before that passed, and only their members are
+    placed and joined with traces. rows: the positions' columns; traces: key, rt, y.
+
+    Rounds as in `evaluate`, which gives the same from a list of members; they end with the first tier in which none passes.
+    Each round's classes and outcomes are written to the shared folder."""
+    spark, n = rows.sparkSession, len(columns)
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    temporary = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        temporary.append(f"{folder}-{name}")
+        return stored_table(df, temporary[-1])
+
+    blocks, traces = stored(block_ranks(rows, columns), "blocks"), stored(traces.select("key", "rt", "y"), "traces")
+    nothing = spark.range(1).select(F.lit("C0").alias("node_id"), F.lit(0).alias("ord"), F.lit("|".join([K.NULL] * n)).alias("key"))
+    root = replicates(nothing, traces).groupBy("node_id").applyInPandas(root_outcome(lambda rt, y: find_many([(rt, y)])[0]), OUTCOME)
+    outcomes = stored_table(root, f"{folder}-0")
+    passed = lambda o: o.where("passed and chosen_rt is not null").select("node_id", "chosen_rt")
+    first = passed(outcomes).first()  # the root alone
+
+    def settled(classes: DataFrame, tier: int, name: str, singles: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(outcomes, survivors) of classes (class, ranks, threshold)."""
+        node_id = F.concat_ws("_", F.lit(f"{'F' if tier == n else 'C'}{tier}"), F.array_join("class", "_"))
+        classes = classes.select(node_id.alias("node_id"), F.lit("compound" if tier == n else "class").alias("kind"), "class", "ranks", "threshold")
+        if singles is not None and tier < n:
+            raised = J.raise_for_cassettes(classes.select("node_id", "threshold"), classes, singles)
+            classes = classes.drop("threshold").join(raised, "node_id")
+        classes = stored(classes, f"classes-{name}")
+        found = stored_table(consensus_of(replicates(placed(classes, tier, n), traces), find_many, tolerance, alpha, min_prominence, min_pct_area), f"{folder}-{name}")
+        return found, stored(passed(found).join(classes, "node_id").select("class", "ranks", "chosen_rt"), f"survivors-{name}")
+
+    if first is not None:
+        cassette = K.is_cassette(F.col("block"))
+        single = lambda which: blocks.where(which).select(F.array("block").alias("class"), F.array("ranks").alias("ranks"), F.lit(first["chosen_rt"]).alias("threshold"))
+        found, survivors = settled(single(~cassette), 1, "1", None)
+        outcomes, singles = outcomes.unionByName(found), None
+        if not blocks.where(cassette).isEmpty():
+            singles = survivors.select(F.col("class")[0].alias("component"), F.col("chosen_rt").alias("rt"))
+            found, more = settled(single(cassette), 1, "1c", singles)
+            outcomes, survivors = outcomes.unionByName(found), survivors.unionByName(more)
+        for tier in range(2, n + 1):
+            if survivors.isEmpty():
+                break
+            found, survivors = settled(grown(survivors, tier), tier, str(tier), singles)
+            outcomes = outcomes.unionByName(found)
+    for path in temporary:  # outcomes stand on their own
+        discard(spark, path)
+    return outcomes
+
+
+def tier_totals(rows: DataFrame, columns: list[str] = BBS) -> DataFrame:
+    """tier, total: how many nodes each tier has, from the alphabets alone. A class is counted by the placement that takes
+    each block to the first position it can have; blocks of one set of positions are alike, so at most 2**n sets are read."""
+    n = len(columns)
+    sets = block_ranks(rows, columns).groupBy(F.transform("ranks", lambda r: r.isNotNull()).alias("at")).count().collect()
+    ends, totals = {-1: 1}, [(0, 1)]
+    for tier in range(1, n + 1):
+        further: dict[int, int] = {}
+        for last, many in ends.items():
+            for s in sets:
+                at = next((p for p in range(last + 1, n) if s["at"][p]), None)
+                if at is not None:
+                    further[at] = further.get(at, 0) + many * s["count"]
+        ends = further
+        totals.append((tier, sum(ends.values())))
+    return rows.sparkSession.createDataFrame([t for t in totals if t[1]], "tier int, total long")
+
+
+def tier_summary(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per tier (null: all) nodes that passed, failed and, by the tier's size, were pruned."""
+    tier = F.regexp_extract("node_id", r"^[CF](\d+)", 1).cast("int").alias("tier")
+    seen = outcomes.groupBy(tier).agg(F.count_if("passed").alias("pass"), F.count_if(~F.col("passed")).alias("fail"))
+    whole = totals.join(seen, "tier", "left").na.fill(0, ["pass", "fail"])
+    added = [F.sum(c).alias(c) for c in ("pass", "fail")]
+    return whole.rollup("tier").agg(*added, (F.sum("total") - F.sum("pass") - F.sum("fail")).alias("pruned"), F.sum("total").alias("total"))
+
+
 def joint_scores(points: DataFrame, sigma: float) -> DataFrame:
     """points: cls, rep, time, count, mu, r. Score U and information I of a common peak at each whole time within reach of
     a point, by grouped sums alone."""

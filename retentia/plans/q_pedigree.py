@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import signal as G
 from ..operators import joins as J
 from ..operators import parse as P
 from ..operators import pedigree as D
@@ -21,8 +20,7 @@ from .q_traces import BASE_SQL, TR
 TOLERANCE, ALPHA = 1.0, 0.001
 
 
-def find(rt, y):
-    return G.pick_peaks(rt, y, ALPHA)
+find_many = T.picker("modern", ALPHA)
 
 
 def members(spark, d):
@@ -44,9 +42,8 @@ def node_traces(spark, d):
 
 
 def evaluated(spark, d):
-    """members, outcomes of the library's pedigree."""
-    m = members(spark, d)
-    return m, D.evaluate(m, node_traces(spark, d), TOLERANCE, find, ALPHA)
+    """members (spelt out only where they are read), outcomes of the library's pedigree."""
+    return members(spark, d), D.evaluate_library(L.rt_rows(spark, d), node_traces(spark, d), TOLERANCE, find_many, ALPHA)
 
 
 def shown(outcomes):
@@ -166,7 +163,7 @@ def consensus_at(nodes: str, threshold: float) -> str:
 
 @query("t12_class_consensus", consensus_at("tier > 0", 5.0))
 def t12(spark, d):
-    return shown(with_threshold(spark, d, "tier > 0", 5.0).groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME))
+    return shown(D.consensus_of(with_threshold(spark, d, "tier > 0", 5.0), find_many, TOLERANCE, ALPHA))
 
 
 @query("t13_pedigree_evaluation", pedigree_sql(Q.shown_sql("oc")))
@@ -202,7 +199,7 @@ def t14(spark, d):
 @query("t15_class_diagnostics", consensus_at("node_id IN ('C1_B1', 'C2_B1_B2')", 10.0))
 def t15(spark, d):
     some = with_threshold(spark, d, F.col("node_id").isin("C1_B1", "C2_B1_B2"), 10.0)  # the two classes that are asked for
-    return shown(some.groupBy("node_id").applyInPandas(D.class_consensus(TOLERANCE, find, ALPHA), D.OUTCOME))
+    return shown(D.consensus_of(some, find_many, TOLERANCE, ALPHA))
 
 
 FULL = "f AS (SELECT bb1, bb2, bb3 FROM rt_rows WHERE bb1 <> 'AgxNull' AND bb2 <> 'AgxNull' AND bb3 <> 'AgxNull')"
@@ -278,8 +275,8 @@ def a22(spark, d):
 
 @query("a22_tier_summary_pedigree", pedigree_sql("SELECT tier, count_if(passed) AS pass, count_if(NOT passed) AS fail, count_if(passed IS NULL) AS pruned, count(*) AS total FROM nodes LEFT JOIN oc USING (node_id) GROUP BY ROLLUP (tier)"))
 def a22_pedigree(spark, d):
-    m, o = evaluated(spark, d)
-    return S.tier_summary(o, D.nodes(m))
+    _, o = evaluated(spark, d)
+    return D.tier_summary(o, D.tier_totals(L.rt_rows(spark, d)))
 
 
 @query("a23_prominence_summary", pedigree_sql(f""", {PRODUCTS} SELECT round(avg(prominence), 6) AS mean, round(coalesce(stddev_samp(prominence), 0), 6) AS std_dev, count(prominence) AS n,
