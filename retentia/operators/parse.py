@@ -90,15 +90,15 @@ def identified(df: DataFrame, options: SheetOptions) -> DataFrame:
 
 
 def clean_points(groups: Column, options: SheetOptions) -> Column:
-    """Array of (time, counts map) from groups of text: unreadable and negative times go, unreadable counts lose their
-    channel, negative counts become 0, points without a channel go; sorted by time."""
+    """Array of (time, place in the cell, counts map) from groups of text: unreadable and negative times go, unreadable counts lose their
+    channel, negative counts become 0, points without a channel go; sorted by time, then place."""
 
-    def point(g):
+    def point(g, place):
         names = F.array(*(F.lit(n) for n in options.counts))
         values = F.array(*(number(F.get(g, F.lit(i))) for i in options.counts.values()))
         pairs = F.filter(F.arrays_zip(names.alias("name"), values.alias("value")), lambda p: p["value"].isNotNull())
         counts = F.transform(pairs, lambda p: F.struct(p["name"].alias("channel"), F.greatest(F.lit(0.0), p["value"]).alias("count")))
-        return F.struct(number(F.get(g, F.lit(options.time_index))).alias("time"), counts.alias("counts"))
+        return F.struct(number(F.get(g, F.lit(options.time_index))).alias("time"), place.alias("place"), counts.alias("counts"))
 
     made = F.transform(groups, point)
     return F.array_sort(F.filter(made, lambda p: p["time"].isNotNull() & (p["time"] >= 0) & (F.size(p["counts"]) > 0)))
@@ -146,10 +146,11 @@ def long_points(rows: DataFrame) -> DataFrame:
     return p.select("compound_id", "c.channel", "time", "c.count")
 
 
-def traces(points: DataFrame) -> DataFrame:
-    """compound_id, channel, rt, y: arrays in order of time; of several counts at one time the largest is kept, for a table
-    has no order of rows."""
-    one = points.groupBy("compound_id", "channel", "time").agg(F.max("count").alias("count"))
+def traces(points: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """compound_id, channel, rt, y: arrays in order of time. Of several counts at one time the last one wins by the columns of
+    order; without any the largest is kept, for a table has no order of rows. A table in buckets by compound isn't shuffled."""
+    count = F.max_by("count", F.struct(*order)) if order else F.max("count")
+    one = points.groupBy("compound_id", "channel", "time").agg(count.alias("count"))
     sorted_ = one.groupBy("compound_id", "channel").agg(F.array_sort(F.collect_list(F.struct("time", "count"))).alias("p"))
     return sorted_.select("compound_id", "channel", F.transform("p", lambda x: x["time"]).alias("rt"), F.transform("p", lambda x: x["count"]).alias("y"))
 

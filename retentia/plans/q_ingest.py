@@ -101,6 +101,49 @@ def s07(spark, d):
     return P.traces(L.parts(spark, d)).select("compound_id", "channel", joined("rt"), joined("y"))
 
 
+def repeats(spark, d, value, rows):
+    """compound_id, row_no, cell: a sheet row for each part, with a `month:value` point for each of its lines, in their order;
+    months repeat. rows: which parts."""
+    t = L.table(spark, d, "lineitem").where(rows)
+    item = F.struct("l_orderkey", "l_linenumber", F.concat(L.months(F.col("l_shipdate")).cast("int").cast("string"), F.lit(":"), value.cast("int").cast("string")).alias("x"))
+    cells = t.groupBy("l_partkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.x), ", ").alias("cell"))
+    return cells.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("compound_id"), F.col("l_partkey").alias("row_no"), "cell")
+
+
+REPEATS = P.SheetOptions(delimiters=(",", ":"), time_index=0, counts={"Count": 1})
+REWRITTEN = f"""rp AS (SELECT 'P' || l_partkey AS compound_id, CAST({L._MONTH} AS DOUBLE) AS time, l_orderkey AS o, l_linenumber AS l,
+    CASE WHEN l_partkey % 10 = 3 THEN floor(l_extendedprice) ELSE CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS count
+  FROM lineitem WHERE l_partkey % 10 <> 3 OR l_linenumber <> 2)"""
+
+
+def rewritten(spark, d):
+    """A store of all parts' points (quantities), in which a tenth of the parts is then written anew: other counts, and fewer."""
+    from ..sources.points import PointsStore
+
+    path = folder(spark)
+    store = PointsStore.create(spark, f"points_{path.rsplit('/', 1)[-1]}", path)
+    parsed = lambda rows: rows.select("compound_id", "row_no", P.clean_points(P.group_items(P.split_items(F.col("cell"), REPEATS.delimiters), 2), REPEATS).alias("points"))
+    store.write(parsed(repeats(spark, d, F.col("l_quantity"), F.lit(True))), 1)
+    store.write(parsed(repeats(spark, d, F.floor("l_extendedprice"), (F.col("l_partkey") % 10 == 3) & (F.col("l_linenumber") != 2))), 2)
+    return store
+
+
+@query("s04b_points_rewritten", f"WITH {REWRITTEN} SELECT compound_id, time, count FROM rp")
+def s04_rewritten(spark, d):
+    return rewritten(spark, d).points().select("compound_id", "time", "count")
+
+
+@query("s07b_traces_last_wins", "WITH " + REWRITTEN + """, one AS (SELECT compound_id, time, max_by(count, {'o': o, 'l': l}) AS count, max(count) AS most FROM rp GROUP BY 1, 2)
+  SELECT compound_id, array_to_string(list(CAST(CAST(time AS INTEGER) AS VARCHAR) ORDER BY time), ' ') AS rt, array_to_string(list(CAST(CAST(count AS INTEGER) AS VARCHAR) ORDER BY time), ' ') AS y, count_if(count < most) AS not_largest FROM one GROUP BY 1""")
+def s07_last(spark, d):
+    """Traces of the rewritten store, and at how many times the last count isn't the largest."""
+    store = rewritten(spark, d)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), " ").alias(c)
+    largest = P.traces(store.points()).select("compound_id", "channel", F.col("y").alias("most"))
+    less = F.size(F.filter(F.zip_with("y", "most", lambda a, b: a < b), lambda x: x)).cast("long").alias("not_largest")
+    return store.traces().join(largest, ["compound_id", "channel"]).select("compound_id", joined("rt"), joined("y"), less)
+
+
 @query("p01_delimiter_parse", sheet_sql("SELECT row_no, array_to_string(items, '|') AS items FROM itemised"))
 def p01(spark, d):
     return L.sheet(spark, d).select("row_no", F.array_join(P.split_items(F.col("cell"), SHEET.delimiters), "|").alias("items"))
