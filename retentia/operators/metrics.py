@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .orders import medians
+
 #: Fixed value: fractions of a trace unless told otherwise.
 FRACTIONS = 96
 
@@ -81,9 +83,11 @@ def integer_histogram(df: DataFrame, value: str, by: str = "channel") -> DataFra
 
 
 def distribution(df: DataFrame, value: str, by: str = "channel") -> DataFrame:
-    """n, mean, median, SD, mean -/+ SD, and the normal curve's height at the mean."""
+    """n, mean, median, SD, mean -/+ SD, and the normal curve's height at the mean. The median comes by narrowing, so no task
+    holds a group's values."""
     v = F.col(value)
-    s = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"))
+    s = df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("sd"))
+    s = s.join(medians(df, value, by).withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
     peak = F.when(F.col("sd") > 0, 1 / (F.col("sd") * F.sqrt(F.lit(2.0) * F.pi())))
     return s.select(by, "n", "mean", "median", "sd", (F.col("mean") - F.col("sd")).alias("low"), (F.col("mean") + F.col("sd")).alias("high"), peak.alias("curve_at_mean"))
 

@@ -107,12 +107,6 @@ def simple_filter(df: DataFrame, fields: dict) -> DataFrame:
     return df
 
 
-def page(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
-    """One page in order of the key, with the number of all rows beside each."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(key).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
-
-
 def distinct_values(df: DataFrame, column: str, limit: int) -> DataFrame:
     """Trimmed values that aren't blank, in order without case, and whether more were left out."""
     v = F.trim(F.col(column).cast("string"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tokens as K
+from ..operators import orders as R
 from ..operators import parse as P
 from ..operators import search as S
 from ..operators.search import Condition
@@ -87,7 +88,15 @@ def o01b(spark, d):
 @query("o02_paged_search", "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 10) AS total FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 40 OFFSET 40")
 def o02(spark, d):
     found = S.search(L.table(spark, d, "part"), [Condition("p_size", ">", "10")]).select("p_partkey")
-    return S.page(found, "p_partkey", 40, 40)
+    return R.page(found, "p_partkey", 40, 40)
+
+
+@query("o02b_deep_page", """SELECT o_orderkey, o_totalprice, total FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS place, count(*) OVER () AS total FROM orders)
+  WHERE place > total * 9 // 10 AND place <= total * 9 // 10 + 50""")
+def o02_deep(spark, d):
+    """The page that begins after nine tenths of the orders."""
+    orders = L.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return R.page(orders, "o_orderkey", orders.count() * 9 // 10, 50)
 
 
 @query("o03_id_list", "SELECT p_partkey FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 100")
@@ -104,11 +113,9 @@ def o04(spark, d):
 @query("o06_branch_order", L.sql("rt_rows", """names AS (SELECT DISTINCT bb1 AS name FROM rt_rows)
   SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'B2' THEN 1 WHEN 'B4' THEN 2 ELSE 1000000000 END, lower(name)) AS place FROM names"""))
 def o06(spark, d):
-    from pyspark.sql import Window
-
     names = L.rt_rows(spark, d).select(F.col("bb1").alias("name")).distinct()
     index = F.when(F.col("name") == "B2", 1).when(F.col("name") == "B4", 2)
-    return names.select("name", F.row_number().over(Window.orderBy(F.coalesce(index, F.lit(10**9)), F.lower("name"))).alias("place"))
+    return R.ranked(names, [F.coalesce(index, F.lit(10**9)), F.lower("name")])
 
 
 @query("a33_distinct_primary_ids", sheet_sql("SELECT DISTINCT coalesce(id, compound_id) AS primary_id FROM stored"))

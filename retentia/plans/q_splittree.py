@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..operators import joins as J
+from ..operators import orders as R
 from ..operators import parse as P
 from ..operators import splittree as S
 from ..operators import traces as T
@@ -182,10 +183,8 @@ def o05(spark, d):
 
 @query("o05b_flagged_order_whole", L.sql("rt_rows", FLAGGED.rsplit("\n", 2)[0] + " SELECT cycle, bb, flags, pass_pct, row_number() OVER (ORDER BY flags DESC, pass_pct, cycle, bb) AS place FROM ff"))
 def o05b(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(F.desc("flags"), "pass_pct", "cycle", "bb"))  # a row for each block
-    return S.flagged_blocks(verified(spark, d)).select("cycle", "bb", "flags", "pass_pct", place.alias("place"))
+    found = S.flagged_blocks(verified(spark, d)).select("cycle", "bb", "flags", "pass_pct")
+    return R.ranked(found, [-F.col("flags"), F.col("pass_pct"), F.col("cycle"), F.col("bb")])
 
 
 SOURCES = "src AS (SELECT CASE WHEN row_no % 4 = 0 THEN 'metadata' WHEN row_no % 4 = 1 THEN 'pedigree' WHEN row_no % 4 = 2 THEN 'peak_pick' ELSE 'none' END AS s FROM rt_rows)"
