@@ -188,6 +188,21 @@ def pedigree_rt(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("rt").isNotNull()).groupBy("key").agg(F.max_by("rt", order).alias("rt"))
 
 
+def outcome_times(outcomes: DataFrame, columns: list[str] = BBS) -> DataFrame:
+    """columns, rt, passed of a pedigree's outcomes (node_id, chosen_rt, passed) below the root that found a time, passing or
+    not. A class stands for the tuple that holds its blocks at the C terminus and nulls elsewhere; passed is null for it, as only
+    whole products pass or fail by the pedigree. Of several outcomes of one tuple a
+    passing one wins, then the last by node_id."""
+    n = len(columns)
+    blocks = F.slice(F.split("node_id", "_"), 2, n)
+    placed = outcomes.where("chosen_rt is not null and node_id <> 'C0'").withColumn("_p", F.reverse(K.padded(blocks, n)))
+    rows = placed.select(key_of(F.col("_p")).alias("key"), "_p", "passed", "chosen_rt", "node_id")
+    order = F.struct(F.col("passed").cast("int"), "node_id")
+    best = rows.groupBy("key").agg(F.max_by(F.struct("_p", "passed", "chosen_rt"), order).alias("r"))
+    whole = ~F.array_contains("r._p", K.NULL)
+    return best.select(*(F.col("r._p")[i].alias(c) for i, c in enumerate(columns)), F.col("r.chosen_rt").alias("rt"), F.when(whole, F.col("r.passed")).alias("passed"))
+
+
 #: Where a tuple's time comes from, the first that has one.
 RT_SOURCES = ("metadata", "pedigree", "peak_pick")
 

@@ -15,7 +15,9 @@ from .catalog import query
 from .q_aggregates import rounded
 from .q_ingest import folder
 from . import pedigree_sql as Q
-from .q_traces import BASE_SQL, TR
+from .q_splittree import THR, VERIFIED
+from .q_traces import ALPHA as PICK_ALPHA
+from .q_traces import BASE_SQL, PEAKS_SQL, TR
 
 TOLERANCE, ALPHA = 1.0, 0.001
 
@@ -171,6 +173,36 @@ def t13(spark, d):
     return shown(evaluated(spark, d)[1])
 
 
+SPLIT = f""", pt AS (SELECT list_reverse(list_resize(CAST([] AS VARCHAR[]), 3 - len(c), 'AgxNull') || c) AS p, round(chosen_rt, 5) AS rt, CASE WHEN kind = 'compound' THEN passed END AS passed
+    FROM oc JOIN nodes USING (node_id) WHERE tier > 0 AND chosen_rt IS NOT NULL),
+  pk AS (WITH {PEAKS_SQL} SELECT compound_id, max(rt) AS rt FROM peaks WHERE channel = 'Count' GROUP BY 1),
+  job AS (SELECT t.bb1, t.bb2, t.bb3, coalesce(pt.rt, pk.rt) AS rt, CASE WHEN pt.rt IS NOT NULL THEN 'pedigree' WHEN pk.rt IS NOT NULL THEN 'peak_pick' ELSE 'none' END AS rt_source, pt.passed
+    FROM rt_rows t LEFT JOIN pt ON pt.p = [t.bb1, t.bb2, t.bb3] LEFT JOIN pk ON pk.compound_id = t.bb1 || '|' || t.bb2 || '|' || t.bb3),
+  timed AS (SELECT * FROM job WHERE rt IS NOT NULL), {VERIFIED.replace("rt_rows", "timed")}"""
+
+
+def pedigree_job(spark, d):
+    """row_no, bb1..bb3, rt, rt_source, passed: times of the library's tuples from the pedigree's evaluation, else from their own
+    latest peaks, and how the pedigree judged whole products."""
+    tuples = L.rt_rows(spark, d).select("row_no", *S.BBS)
+    found = S.outcome_times(evaluated(spark, d)[1]).withColumn("rt", F.round("rt", 5))
+    own = [F.split("compound_id", r"\|")[i].alias(c) for i, c in enumerate(S.BBS)]
+    picks = T.direct_rt(T.pick(P.traces(L.points(spark, d).where("channel = 'Count'")), alpha=PICK_ALPHA)).select(*own, "rt")
+    times = S.resolve_times(tuples, {"pedigree": found, "peak_pick": picks})
+    return sheets.stored_table(times.join(found.drop("rt"), S.BBS, "left"), folder(spark))  # verification reads it often
+
+
+@query("t23e_split_tree_of_pedigree", pedigree_sql(f"{SPLIT} SELECT bb1, bb2, bb3, job.rt, rt_source, passed, success FROM job LEFT JOIN vf USING (bb1, bb2, bb3)"))
+def t23_pedigree(spark, d):
+    times = pedigree_job(spark, d)
+    return times.drop("row_no").join(S.split_tree(times, THR).drop("rt"), S.BBS, "left")
+
+
+@query("t23f_split_tree_paths_of_pedigree", pedigree_sql(f"{SPLIT} SELECT CAST(d AS INTEGER) AS depth, array_to_string([bb1, bb2, bb3][1:d], '|') AS prefix, max(CASE WHEN d = 3 THEN rt END) AS rt FROM pd, range(1, 4) g(d) WHERE success GROUP BY 1, 2"))
+def t23_pedigree_paths(spark, d):
+    return S.tree_paths(S.split_tree(pedigree_job(spark, d), THR))
+
+
 PRODUCTS = """pq AS (SELECT array_to_string(list_reverse(string_split(nt.key, '|')), '|') AS compound_id, node_id, chosen_rt, rt, y, list_sort(list_transform(range(1, len(rt) + 1), lambda i: struct_pack(d := abs(rt[i] - chosen_rt), i := i)))[1].i AS i
     FROM oc JOIN nodes USING (node_id) JOIN members USING (node_id) JOIN nt ON nt.key = members.key WHERE nodes.kind = 'compound' AND passed AND chosen_rt IS NOT NULL AND len(rt) > 2),
   pp AS (SELECT compound_id, node_id, chosen_rt, y[i] - greatest(least(y[i], coalesce(list_min(y[coalesce(list_max(list_filter(range(1, i), lambda l: y[l] > y[i])), 0) + 1 : i - 1]), y[i])),
