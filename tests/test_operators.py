@@ -168,7 +168,7 @@ def test_analysis_is_the_peaks_with_their_baseline(spark):
 
 def test_times_of_pedigree_outcomes(spark):
     rows = [("C0", 3.0, True), ("C1_B4", 8.0, True), ("C2_B4_B2", 9.0, False), ("F3_B4_B2_B7", 12.0, True), ("F3_B4_B2_B8", 13.0, False), ("F3_B4_B2_B9", None, False)]
-    got = splittree.outcome_times(spark.createDataFrame(rows, "node_id string, chosen_rt double, passed boolean")).collect()
+    got = T.outcome_times(spark.createDataFrame(rows, "node_id string, chosen_rt double, passed boolean")).collect()
     n = "AgxNull"
     assert sorted(map(tuple, got)) == sorted([("B4", n, n, 8.0, None), ("B2", "B4", n, 9.0, None), ("B7", "B2", "B4", 12.0, True), ("B8", "B2", "B4", 13.0, False)])
-    assert splittree.outcome_times(spark.createDataFrame([], "node_id string, chosen_rt double, passed boolean")).count() == 0
+    assert T.outcome_times(spark.createDataFrame([], "node_id string, chosen_rt double, passed boolean")).count() == 0
