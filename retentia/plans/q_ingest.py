@@ -53,6 +53,15 @@ def s01(spark, d):
     return S.read_sheet(spark, path).select("row_no", "id", "variant", "cell", "bb1")
 
 
+@query("s01b_sheet_with_line_breaks", L.sql("sheet", """SELECT CAST(row_no AS VARCHAR) AS row_no, id, replace(cell, ', ', ',' || chr(10)) AS cell, '"' || bb1 || '",' || chr(10) || bb2 AS note FROM sheet"""))
+def s01_line_breaks(spark, d):
+    """The sheet with a line for each point of a cell, and a column of quotes, delimiters and line breaks."""
+    path = folder(spark)
+    note = F.concat(F.lit('"'), "bb1", F.lit('",\n'), "bb2").alias("note")
+    S.write_csv(L.sheet(spark, d).select("row_no", "id", F.replace("cell", F.lit(", "), F.lit(",\n")).alias("cell"), note), path)
+    return S.read_sheet(spark, path)
+
+
 @query("s02_identity_rejects", sheet_sql("SELECT row_no, compound_id, reason0 AS reject_reason FROM ingested"))
 def s02(spark, d):
     return P.identified(L.sheet(spark, d), SHEET).select("row_no", "compound_id", "reject_reason")

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import records
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local master, whose executors are the driver's own, may do without
@@ -21,12 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def read_sheet(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str = ",", line_breaks: bool = True) -> DataFrame:
-    """A sheet with a header, every column as text; an empty one is an error. A file whose cells may hold line breaks is one
-    task; without them it is split."""
-    df = spark.read.csv(path, header=True, multiLine=line_breaks, escape='"', encoding=encoding, sep=delimiter, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """A sheet with a header, every column as text; an empty one is an error. Files are read in parts, also where cells may hold
+    line breaks; of those only one that isn't UTF-8 is one task."""
+    options = {"escape": '"', "sep": delimiter, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, encoding=encoding, **options)
     if not df.columns:
         raise ValueError(f"no columns in {path}")
-    return df
+    if not line_breaks or encoding.upper().replace("-", "") != "UTF8":
+        return df
+    return records.read_records(spark, path, df.columns, options)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
