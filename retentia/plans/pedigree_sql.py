@@ -40,9 +40,10 @@ def fit_sql(x: str, nodes: str, points: str, sigma: float) -> str:
     FROM {x}b b LEFT JOIN {x}tu t USING (node_id))"""
 
 
-def base_sql(alpha: float) -> str:
-    """CTEs: tr, peaks and baselines of node traces, gathered by key: nt (key, rt, y, m, v, pk: its peaks)."""
-    return f"""{SIGNAL}, {peaks_sql(alpha, own_traces=True)}, {clipped_sql("tr", "compound_id, channel", "y", "bl")},
+def base_sql(alpha: float, peaks: str | None = None) -> str:
+    """CTEs: tr, peaks (of another picker, if given) and baselines of node traces, gathered by key: nt (key, rt, y, m, v, pk:
+    its peaks)."""
+    return f"""{SIGNAL}, {peaks or peaks_sql(alpha, own_traces=True)}, {clipped_sql("tr", "compound_id, channel", "y", "bl")},
   kp AS (SELECT compound_id, list(struct_pack(p := p_value, rt := rt) ORDER BY rt) AS pk FROM peaks GROUP BY 1),
   nt AS MATERIALIZED (SELECT tr.compound_id AS key, rt, y, greatest(mu, 0.5) AS m, greatest(mu, 0.5) + greatest(mu, 0.5) * greatest(mu, 0.5) / coalesce(r, 1e6) AS v, coalesce(pk, []) AS pk
     FROM tr JOIN bl USING (compound_id, channel) LEFT JOIN kp ON kp.compound_id = tr.compound_id)"""
@@ -120,9 +121,10 @@ NUMBERS = [
 ]
 
 
-def shown_sql(source: str) -> str:
-    """Outcomes as plain columns: rounded numbers, and lists as text (months from the floor, `-` for none)."""
-    whole = lambda c: f"array_to_string(list_transform({c}, lambda q: coalesce(CAST(CAST(q AS INTEGER) AS VARCHAR), '-')), ' ') AS {c}"
+def shown_sql(source: str, scale: int = 1) -> str:
+    """Outcomes as plain columns: rounded numbers, and lists as text (times in 1 / scale months, `-` for none)."""
+    number = lambda c: f"CAST(round(q * {scale}) AS INTEGER)" if scale > 1 and c in LISTS else "CAST(q AS INTEGER)"
+    whole = lambda c: f"array_to_string(list_transform({c}, lambda q: coalesce(CAST({number(c)} AS VARCHAR), '-')), ' ') AS {c}"
     lists = [*LISTS, "bayesian_supporting_replicates", "replicates_with_no_signal"]
     return f"""SELECT node_id, passed, insufficient_data, {", ".join(f"round({c}, 5) AS {c}" for c in NUMBERS)}, {", ".join(whole(c) for c in lists)},
   round(list_sum(list_transform(shares, lambda q: q.s)), 4) AS score_contribution, n_replicates, n_replicates_with_signal FROM {source}"""

@@ -17,7 +17,7 @@ from .q_ingest import folder
 from . import pedigree_sql as Q
 from .q_splittree import THR, VERIFIED
 from .q_traces import ALPHA as PICK_ALPHA
-from .q_traces import BASE_SQL, PEAKS_SQL, TR
+from .q_traces import BASE_SQL, OLD, PEAKS_SQL, TR, old_peaks_sql
 
 TOLERANCE, ALPHA = 1.0, 0.001
 
@@ -43,14 +43,15 @@ def node_traces(spark, d):
     return tr.select(key.alias("key"), "rt", "y")
 
 
-def evaluated(spark, d):
+def evaluated(spark, d, find=find_many):
     """members (spelt out only where they are read), outcomes of the library's pedigree."""
-    return members(spark, d), D.evaluate_library(L.rt_rows(spark, d), node_traces(spark, d), TOLERANCE, find_many, ALPHA)
+    return members(spark, d), D.evaluate_library(L.rt_rows(spark, d), node_traces(spark, d), TOLERANCE, find, ALPHA)
 
 
-def shown(outcomes):
+def shown(outcomes, scale=1):
     """Outcomes as plain columns: rounded numbers, and lists as text."""
-    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("-"))), " ").alias(c)
+    number = lambda c, x: (F.round(x * scale) if scale > 1 and c in Q.LISTS else x).cast("int").cast("string")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(number(c, x), F.lit("-"))), " ").alias(c)
     lists = [*Q.LISTS, "bayesian_supporting_replicates", "replicates_with_no_signal"]
     total = F.aggregate(F.filter("per_rep_score_contribution", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     return outcomes.select(
@@ -173,6 +174,15 @@ def t13(spark, d):
     return shown(evaluated(spark, d)[1])
 
 
+OLD_PEDIGREE = f"{MEMBERS}, {Q.base_sql(ALPHA, old_peaks_sql(OLD))}, {Q.pedigree_sql(TOLERANCE, ALPHA)}"
+
+
+@query("t13b_pedigree_gaussian", Q.stepwise(L.sql("rt_rows points", f"{OLD_PEDIGREE} {Q.shown_sql('oc', 1000)}")))
+def t13_gaussian(spark, d):
+    """The pedigree with the Gaussian picker, whose peaks lie between samples: listed in thousandths of a month."""
+    return shown(evaluated(spark, d, T.picker("gaussian", options=OLD))[1], 1000)
+
+
 SPLIT = f""", pt AS (SELECT list_reverse(list_resize(CAST([] AS VARCHAR[]), 3 - len(c), 'AgxNull') || c) AS p, round(chosen_rt, 5) AS rt, CASE WHEN kind = 'compound' THEN passed END AS passed
     FROM oc JOIN nodes USING (node_id) WHERE tier > 0 AND chosen_rt IS NOT NULL),
   pk AS (WITH {PEAKS_SQL} SELECT compound_id, max(rt) AS rt FROM peaks WHERE channel = 'Count' GROUP BY 1),

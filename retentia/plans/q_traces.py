@@ -13,6 +13,7 @@ from ..operators import parse as P
 from ..operators import traces as T
 from . import library as L
 from .catalog import query
+from .gaussian_sql import gaussian_peaks_sql
 from .q_aggregates import TOTALS, histogram_sql, rounded, stats_sql
 from .q_ingest import SHEET, ingested, sheet_sql
 
@@ -66,7 +67,15 @@ def peaks_sql(alpha: float = ALPHA, own_traces: bool = False) -> str:
     return ",\n".join([*([] if own_traces else [TR]), MAXIMA, BOUNDS, LOCAL, picked])
 
 
+def old_peaks_sql(options: G.GaussianOptions) -> str:
+    """CTEs from tr to the Gaussian picker's peaks."""
+    return gaussian_peaks_sql(options, MAXIMA, BOUNDS.replace("FROM mx", "FROM fitted"))
+
+
 PEAKS_SQL = peaks_sql()
+#: The Gaussian picker's options in these queries.
+OLD = G.GaussianOptions(minimum_rt=5.0)
+OLD_LATE = G.GaussianOptions(minimum_rt=12.0, height_factor=0.6)
 BASE_SQL = clipped_sql("tr", "compound_id, channel", "y", "bl")
 STATS_SQL = f"""{PEAKS_SQL}, {BASE_SQL}, best AS (SELECT compound_id, channel, count(*) AS peak_count, max(prominence) AS max_prominence, median(prominence) AS median_prominence,
     max(intensity) AS height, min_by(rt, {{'a': -intensity, 'b': rt}}) AS tall_rt FROM peaks GROUP BY 1, 2),
@@ -125,6 +134,14 @@ def w08_old(spark, d):
     return T.direct_rt(library_peaks(spark, d), M.entry_maxima(L.points(spark, d)), minimum_rt=12.0, factor=0.6)
 
 
+@query("w08c_direct_pick_gaussian", L.sql("points", f"{TR}, {old_peaks_sql(OLD_LATE)}, top AS (SELECT compound_id, channel, max(count) AS m FROM points GROUP BY 1, 2) SELECT compound_id, channel, round(max(rt), 6) AS rt FROM peaks JOIN top USING (compound_id, channel) WHERE rt >= 12 AND intensity >= 0.6 * m GROUP BY 1, 2"))
+def w08_gaussian(spark, d):
+    """The old way throughout: Gaussian fits, then the gates of time and height."""
+    found = T.pick(library_traces(spark, d), "gaussian", options=OLD_LATE)
+    late = T.direct_rt(found, M.entry_maxima(L.points(spark, d)), OLD_LATE.minimum_rt, OLD_LATE.height_factor)
+    return rounded(late, "rt")
+
+
 @query("w09_stage1_picks", L.sql("points", f"{PEAKS_SQL} SELECT compound_id, channel, min(rt) AS earliest, min_by(rt, {{'a': p_value, 'b': rt}}) AS most_significant FROM (SELECT * REPLACE (round(p_value, 9) AS p_value) FROM peaks) WHERE rt > 20 GROUP BY 1, 2"))
 def w09(spark, d):
     return T.peak_picks(rounded(library_peaks(spark, d), "p_value", digits=9), 20.0)
@@ -172,9 +189,9 @@ def t02(spark, d):
     return rounded(rounded(library_peaks(spark, d), "p_value"), "pct_area", digits=4)
 
 
-@query("t03_gaussian_picker")
+@query("t03_gaussian_picker", L.sql("points", f"{TR}, {old_peaks_sql(OLD)} {ROUND_PEAKS.replace(' rt,', ' round(rt, 6) AS rt,', 1)}"))
 def t03(spark, d):
-    return T.pick(library_traces(spark, d), "gaussian", options=G.GaussianOptions(minimum_rt=5.0))
+    return rounded(rounded(T.pick(library_traces(spark, d), "gaussian", options=OLD), "rt", "p_value"), "pct_area", digits=4)
 
 
 QUALITY = "q AS (SELECT *, 100 * area / sum(area) OVER (PARTITION BY compound_id, channel) AS pct FROM peaks)"
