@@ -8,10 +8,11 @@ from ..functions import tokens as K
 from ..operators import orders as R
 from ..operators import parse as P
 from ..operators import search as S
+from ..operators import substrings as T
 from ..operators.search import Condition
 from . import library as L
 from .catalog import query
-from .q_ingest import NUM, sheet_sql, stored
+from .q_ingest import NUM, folder, sheet_sql, stored
 
 SHEET_NUM = f"CASE WHEN regexp_matches(trim(mass), {NUM}) THEN CAST(trim(mass) AS DOUBLE) END"
 
@@ -110,6 +111,21 @@ def o04(spark, d):
     return p.select(F.col("p_name").alias("value")).distinct().orderBy("value").limit(400)
 
 
+@query("o04b_suggestions_by_index", "SELECT lower(p_name) AS value, count(*) AS rows FROM part WHERE contains(lower(p_name), 'ring') GROUP BY 1")
+def o04_index(spark, d):
+    """Every value that holds a text, by a trigram index, with the number of its rows."""
+    parts = L.table(spark, d, "part")
+    found = T.rows_with(parts, "p_name", T.build(parts, "p_name", folder(spark)), "RING")
+    return found.groupBy(F.lower("p_name").alias("value")).agg(F.count("*").alias("rows"))
+
+
+@query("p15b_contains_by_index", "SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'mentre')")
+def p15_index(spark, d):
+    """Rows of long texts that hold a text."""
+    docs = L.table(spark, d, "documents")
+    return T.rows_with(docs, "text", T.build(docs, "text", folder(spark)), "MentRe").select("doc_id", "n_chars")
+
+
 @query("o06_branch_order", L.sql("rt_rows", """names AS (SELECT DISTINCT bb1 AS name FROM rt_rows)
   SELECT name, row_number() OVER (ORDER BY CASE name WHEN 'B2' THEN 1 WHEN 'B4' THEN 2 ELSE 1000000000 END, lower(name)) AS place FROM names"""))
 def o06(spark, d):
