@@ -54,52 +54,44 @@ def picker(kind: str = "modern", alpha: float = 0.001, options: G.GaussianOption
     """A function from many traces to their peaks."""
     if kind == "modern":
         return lambda traces: R.pick_lists(traces, alpha)
-    return lambda traces: G.pick_gaussian(traces, options or G.GaussianOptions())
+    return lambda traces: R.pick_gaussian_lists(traces, options or G.GaussianOptions())
 
 
 def pick(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """The peaks of every trace of three points or more, numbered in order of time, with each one's share of the area of all
     that were found; then only those of enough prominence and share."""
-    if kind == "modern":
-        return _picked(traces, alpha, min_prominence, min_pct_area, PEAKS)
-    return _picked_gaussian(traces, options or G.GaussianOptions(), PEAKS)
+    return _picked(traces, _found(kind, alpha, options), min_prominence, min_pct_area, PEAKS)
 
 
 def analyse(traces: DataFrame, kind: str = "modern", alpha: float = 0.001, options: G.GaussianOptions | None = None, min_prominence: float = 0.0, min_pct_area: float = 0.0) -> DataFrame:
     """The peaks of pick, each with its trace's baseline, in one pass over the traces. What can't be analysed: failures."""
-    if kind == "modern":
-        return _picked(traces, alpha, min_prominence, min_pct_area, ANALYSED)
-    return _picked_gaussian(traces, options or G.GaussianOptions(), ANALYSED)
+    return _picked(traces, _found(kind, alpha, options), min_prominence, min_pct_area, ANALYSED)
+
+
+def _found(kind: str, alpha: float, options: G.GaussianOptions | None):
+    """A function from many traces, one after another, to their peaks and the peaks' times."""
+    if kind != "modern":
+        return lambda rt, y, off: R.pick_gaussian(rt, y, off, options or G.GaussianOptions())
+
+    def modern(rt, y, off):
+        p = R.pick(y, off, alpha)
+        return p, rt[p.apex]
+
+    return modern
 
 
-def _picked(traces: DataFrame, alpha: float, min_prominence: float, min_pct_area: float, schema: str) -> DataFrame:
+def _picked(traces: DataFrame, find, min_prominence: float, min_pct_area: float, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, channels = batch.column("compound_id"), batch.column("channel")
             for i, _, rt, y, off in flat(batch):
-                p = R.pick(y, off, alpha)
+                p, at = find(rt, y, off)
                 pct, good = p.share(), p.of_quality(min_prominence, min_pct_area)
-                p, pct = p.where(good), pct[good]
+                p, at, pct = p.where(good), at[good], pct[good]
                 number = np.arange(1, len(pct) + 1) - np.searchsorted(p.trace, p.trace)
                 row = pa.array(i + p.trace)
                 more = (x[p.trace] for x in R.clipped(y, off)) if schema == ANALYSED else ()
-                yield batch_of(schema, ids.take(row), channels.take(row), number, rt[p.apex], y[p.apex], p.area, p.prominence, p.p_value, pct, rt[p.left], rt[p.right], *more)
-
-    return traces.where(F.size("rt") >= 3).select("compound_id", "channel", "rt", "y").mapInArrow(run, schema)
-
-
-def _picked_gaussian(traces: DataFrame, options: G.GaussianOptions, schema: str) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            ids, channels = batch.column("compound_id").to_pylist(), batch.column("channel").to_pylist()
-            rows = []
-            series = [(rt, y) for _, rt, y in arrays(batch)]
-            for i, peaks in enumerate(G.pick_gaussian(series, options)):
-                more = G.clipped_baseline(series[i][1]) if schema == ANALYSED and peaks else ()
-                total = sum(p.area for p in peaks)
-                for n, p in enumerate(peaks, 1):
-                    rows.append((ids[i], channels[i], n, p.rt, p.intensity, p.area, p.prominence, p.p_value, 100 * p.area / total if total > 0 else 0.0, p.left_rt, p.right_rt, *more))
-            yield rows_batch(rows, schema)
+                yield batch_of(schema, ids.take(row), channels.take(row), number, at, y[p.apex], p.area, p.prominence, p.p_value, pct, rt[p.left], rt[p.right], *more)
 
     return traces.where(F.size("rt") >= 3).select("compound_id", "channel", "rt", "y").mapInArrow(run, schema)
 
