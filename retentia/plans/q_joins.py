@@ -25,8 +25,8 @@ def part_compounds(spark, d):
 
 @query("j01_traces_metadata", L.sql("parts sheet", "SELECT p.compound_id, channel, bb1, bb2, bb3, count(*) AS n_points FROM parts p JOIN sheet s ON p.compound_id = 'P' || s.row_no WHERE trim(variant) = 'linear' GROUP BY 1, 2, 3, 4, 5"))
 def j01(spark, d):
-    tr = J.attach_positions(P.traces(L.parts(spark, d)), part_compounds(spark, d), ["linear"])
-    return tr.select("compound_id", "channel", "bb1", "bb2", "bb3", F.size("rt").cast("long").alias("n_points"))
+    sizes = P.traces(L.parts(spark, d)).select("compound_id", "channel", F.size("rt").cast("long").alias("n_points"))  # traces stay where they lie
+    return J.attach_positions(sizes, part_compounds(spark, d), ["linear"]).select("compound_id", "channel", "bb1", "bb2", "bb3", "n_points")
 
 
 CASCADE = f"""pk AS (SELECT 'P' || l_partkey AS compound_id, max(((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)) AS rt FROM lineitem GROUP BY 1),

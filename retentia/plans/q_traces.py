@@ -230,8 +230,9 @@ def t04_peaks(spark, d):
 def t04_failing(spark, d):
     t = L.table(spark, d, "lineitem")
     pair = F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit("|S"), F.col("l_suppkey").cast("string"))
-    p = t.groupBy(pair.alias("compound_id"), L.months(F.col("l_shipdate")).alias("time")).agg(F.count("*").cast("double").alias("count"))
-    return T.failures(P.traces(p.withColumn("channel", F.lit("Count"))))
+    rows = L.by_compound(spark, d, t.select(pair.alias("compound_id"), L.months(F.col("l_shipdate")).alias("time")))
+    p = rows.groupBy("compound_id", "time").agg(F.count("*").cast("double").alias("count"))
+    return T.failures(P.traces(p.select("compound_id", F.lit("Count").alias("channel"), "time", "count")))
 
 
 STATS_COLUMNS = ["baseline_mu", "baseline_sigma", "max_prominence", "median_prominence", "snr_excess", "snr_ratio", "dynamic_range"]
