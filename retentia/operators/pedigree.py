@@ -195,20 +195,30 @@ def placed(classes: DataFrame, tier: int, n: int) -> DataFrame:
     return classes.select(*rest, F.posexplode(every).alias("ord", "m")).select(*rest, "ord", "m.key")
 
 
-def grown(survivors: DataFrame, tier: int) -> DataFrame:
-    """class, ranks, threshold of the classes of `tier` blocks all of whose classes with one block less survived (class,
-    ranks, chosen_rt); the threshold is the latest of these.
+def last_position(ranks: Column, n: int) -> Column:
+    """The position (from 0) of a class's last block when each block takes the first it can have; n where one has none."""
+    after = lambda last, r: F.coalesce(*(F.when((last < p) & F.get(r, F.lit(p)).isNotNull(), F.lit(p)) for p in range(n)), F.lit(n))
+    return F.aggregate(ranks, F.lit(-1), after)
+
+
+def grown(survivors: DataFrame, tier: int, n: int) -> DataFrame:
+    """class, ranks, threshold of the classes of `tier` blocks that fit into n positions and all of whose classes with one block
+    less survived (class, ranks, chosen_rt); the threshold is the latest of these.
+
+    What can't be placed is never made: a survivor that leaves no position behind it isn't lengthened. Else candidates would
+    be as many as the blocks to the power of the tier, however short some positions' alphabets are.
 
     Two survivors make a candidate where one without its first block is the other without its last. Single blocks have nothing
     in common to be joined by: all their pairs are candidates, and are dealt by salt."""
     shared = lambda first: F.array_join(F.slice("class", first, tier - 2), "|") if tier > 2 else F.lit("")
     parts = int(survivors.sparkSession.conf.get("spark.sql.shuffle.partitions")) if tier == 2 else 1
-    left = survivors.select(shared(2).alias("shared"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("salt"), "class", "ranks")
+    left = survivors.where(last_position(F.col("ranks"), n) < n - 1).select(shared(2).alias("shared"), F.pmod(F.xxhash64("class"), F.lit(parts)).cast("int").alias("salt"), "class", "ranks")
     right = survivors.select(shared(1).alias("shared"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), F.slice("class", -1, 1).alias("last"), F.slice("ranks", -1, 1).alias("last_ranks"))
     made = left.join(right, ["shared", "salt"]).select(F.concat("class", "last").alias("class"), F.concat("ranks", "last_ranks").alias("ranks"))
+    made = made.where(last_position(F.col("ranks"), n) < n)
     up = made.select("class", "ranks", F.explode(K.parents(F.col("class"))).alias("parent")).withColumn("parent", F.array_join("parent", "|"))
     known = survivors.select(F.array_join("class", "|").alias("parent"), "chosen_rt")
-    met = up.join(known, "parent").groupBy(F.array_join("class", "|").alias("name")).agg(F.first("class").alias("class"), F.first("ranks").alias("ranks"), F.count("*").alias("n"), F.max("chosen_rt").alias("threshold"))
+    met = up.join(known, "parent").groupBy("class", "ranks").agg(F.count("*").alias("n"), F.max("chosen_rt").alias("threshold"))
     return met.where(F.col("n") == F.size(K.parents(F.col("class")))).select("class", "ranks", "threshold")
 
 
@@ -257,7 +267,7 @@ def evaluate_library(rows: DataFrame, traces: DataFrame, tolerance: float, find_
         for tier in range(2, n + 1):
             if survivors.isEmpty():
                 break
-            found, survivors = settled(grown(survivors, tier), tier, str(tier), singles)
+            found, survivors = settled(grown(survivors, tier, n), tier, str(tier), singles)
             outcomes = outcomes.unionByName(found)
     for path in temporary:  # outcomes stand on their own
         discard(spark, path)

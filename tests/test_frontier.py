@@ -93,3 +93,14 @@ def test_sample_at_the_edge_of_a_neighbour(spark):
     got = D.positions_fit(replicates, base, 1.0, 5.0).first()
     want = G.fit_position(series, baselines, 1.0, 5.0, 49.0, 0.1)
     assert (got.position, got.u, got["info"]) == pytest.approx(want[:3], abs=1e-9)
+
+
+def test_classes_that_no_positions_hold_are_not_made(spark):
+    """Many blocks at two positions and one at the first: pairs and triples that begin with another block can't be placed."""
+    many = [f"B{i}" for i in range(40)]
+    rows = [(["A"], [[1, None, None]], 1.0)] + [([b], [[None, i + 1, i + 1]], 1.0) for i, b in enumerate(many)]
+    singles = spark.createDataFrame(rows, "class array<string>, ranks array<array<int>>, chosen_rt double")
+    pairs = D.grown(singles, 2, 3)
+    assert pairs.count() == 40 + 40 * 40  # A and a block, or two blocks; never a block and A
+    triples = D.grown(pairs.withColumnRenamed("threshold", "chosen_rt"), 3, 3)
+    assert triples.count() == 40 * 40 and triples.where("class[0] <> 'A'").isEmpty()
