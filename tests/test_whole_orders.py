@@ -23,3 +23,8 @@ def test_missing_extra(spark):
     df = lambda *names: spark.createDataFrame([(n,) for n in names], "x string")
     got = S.missing_extra(df("A", "b", "B", "c"), df("a", "d", "D"), "x").collect()
     assert sorted(map(tuple, got)) == [("b", "missing"), ("c", "missing"), ("d", "extra")]
+
+
+def test_flagged_blocks_are_verified_once(spark, sf):
+    plan = registry.QUERIES["o05b_flagged_order_whole"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan
