@@ -21,7 +21,15 @@ TRACES = [
     "0000020311000022202000031200031312102002210130100011010221101000121200422421120212",  # baseline
     "1126102031421151120113213120222712057024011324213052112215121034412210202020042012",  # baseline
 ]
-QUERIES = ["a21_plot_baseline_mu", "a21_plot_dynamic_range", "a21_plot_peak_count", "a21_plot_snr_excess", "a21_plot_snr_ratio", "p21_quality_filter"]
+QUERIES = [
+    "a21_plot_baseline_mu",
+    "a21_plot_dynamic_range",
+    "a21_plot_peak_count",
+    "a21_plot_snr_excess",
+    "a21_plot_snr_ratio",
+    "p21_quality_filter",
+    "p22_truncation_rescue",
+]
 
 
 @pytest.fixture(scope="module")
