@@ -29,6 +29,7 @@ QUERIES = [
     "a21_plot_snr_ratio",
     "p21_quality_filter",
     "p22_truncation_rescue",
+    "w05_rolling_baseline",
 ]
 
 
