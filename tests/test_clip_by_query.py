@@ -30,6 +30,7 @@ QUERIES = [
     "p21_quality_filter",
     "p22_truncation_rescue",
     "w05_rolling_baseline",
+    "w07_peak_numbering",
 ]
 
 
