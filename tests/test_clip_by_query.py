@@ -31,6 +31,7 @@ QUERIES = [
     "p22_truncation_rescue",
     "w05_rolling_baseline",
     "w07_peak_numbering",
+    "s08_metrics_sink",
 ]
 
 
