@@ -32,6 +32,7 @@ QUERIES = [
     "w05_rolling_baseline",
     "w07_peak_numbering",
     "s08_metrics_sink",
+    "s09_signal_sink",
 ]
 
 
