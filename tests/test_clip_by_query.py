@@ -33,6 +33,7 @@ QUERIES = [
     "w07_peak_numbering",
     "s08_metrics_sink",
     "s09_signal_sink",
+    "s10_peak_sink",
 ]
 
 
