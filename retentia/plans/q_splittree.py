@@ -96,10 +96,8 @@ def job_times(spark, d):
     noted = P.in_unit(P.rt_value(F.col("mass")), P.rt_unit("mass (min)"), "seconds")
     noted = P.last_wins(sheet.select(*S.BBS, "row_no", noted.alias("rt")).where("rt is not null"), S.BBS)
     outcomes = tuples.select(S.key_of(S.positions()).alias("key"), "rt", F.lit(True).alias("passed"), F.col("row_no").alias("ord")).where("rt > 40")
-    unkeyed = [F.split("key", P.SEPARATOR)[i].alias(c) for i, c in enumerate(S.BBS)]
     picks = T.direct_rt(T.pick(P.traces(L.points(spark, d).where("channel = 'Count'")), alpha=ALPHA))
-    own = [F.split("compound_id", r"\|")[i].alias(c) for i, c in enumerate(S.BBS)]
-    sources = {"metadata": noted, "pedigree": S.pedigree_rt(outcomes).select(*unkeyed, "rt"), "peak_pick": picks.select(*own, "rt")}
+    sources = {"metadata": noted, "pedigree": S.pedigree_rt(outcomes).select(*L.own_blocks("key", P.SEPARATOR), "rt"), "peak_pick": picks.select(*L.own_blocks(), "rt")}
     return sheets.stored_table(S.resolve_times(tuples.select("row_no", *S.BBS), sources), folder(spark))  # verification reads it often
 
 
