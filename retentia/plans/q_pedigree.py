@@ -43,9 +43,16 @@ def node_traces(spark, d):
     return tr.select(key.alias("key"), "rt", "y")
 
 
-def evaluated(spark, d, find=find_many):
-    """members (spelt out only where they are read), outcomes of the library's pedigree."""
-    return members(spark, d), D.evaluate_library(L.rt_rows(spark, d), node_traces(spark, d), TOLERANCE, find, ALPHA)
+def tuples(spark, d):
+    """bb1..bb3 of the library's tuples, stored: alphabets, members and lineages read them, and what these ask of a tuple would
+    else be asked of every row of `lineitem`."""
+    return sheets.stored_table(L.rt_rows(spark, d).select(*S.BBS), folder(spark))
+
+
+def evaluated(spark, d, find=find_many, rows=None):
+    """members (spelt out only where they are read), outcomes of the library's pedigree. rows: its tuples, where they are at hand."""
+    rows = tuples(spark, d) if rows is None else rows
+    return D.members(rows), D.evaluate_library(rows, node_traces(spark, d), TOLERANCE, find, ALPHA)
 
 
 def shown(outcomes, scale=1):
@@ -253,8 +260,8 @@ def t16(spark, d):
 
 
 def panels(spark, d):
-    m, o = evaluated(spark, d)
-    return D.lineage(D.ancestors(L.rt_rows(spark, d)), m, o)
+    rows = tuples(spark, d)
+    return D.lineage(D.ancestors(rows), *evaluated(spark, d, rows=rows))
 
 
 @query("j15_ancestors_nodes", L.sql("rt_rows", f"{ANCESTORS}, {MEMBERS}, {MADE} SELECT bb1, bb2, bb3, node_id, passed, chosen_rt FROM an JOIN oc USING (node_id)"))
@@ -293,10 +300,10 @@ def labels_sql(first: str, second: str) -> str:
 
 
 def labelled(spark, d, order):
-    m, o = evaluated(spark, d)
-    p = D.lineage(D.ancestors(L.rt_rows(spark, d)), m, o).withColumn("compound_id", F.concat_ws("|", *S.BBS))
+    p = panels(spark, d).withColumn("compound_id", F.concat_ws("|", *S.BBS))
     tr = node_traces(spark, d).select(F.array_join(F.reverse(F.split("key", r"\|")), "|").alias("compound_id"), F.lit("Count").alias("channel"), "rt", "y")
-    return D.peak_labels(T.pick(tr, alpha=ALPHA), p, LABEL_TOLERANCE, order, MIN_PROMINENCE, MIN_PCT_AREA).select("compound_id", "rt", "intensity", "label")
+    peaks = sheets.stored_table(T.pick(tr, alpha=ALPHA), folder(spark))  # read twice
+    return D.peak_labels(peaks, p, LABEL_TOLERANCE, order, MIN_PROMINENCE, MIN_PCT_AREA).select("compound_id", "rt", "intensity", "label")
 
 
 @query("t18_lineage_peak_labels", pedigree_sql(labels_sql("bayesian_pick", "score_test_rt")))
