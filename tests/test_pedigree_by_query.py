@@ -23,6 +23,7 @@ TRACES = {
 }
 QUERIES = [
     "t17_lineage_analysis",
+    "t23e_split_tree_of_pedigree",
 ]
 
 
