@@ -25,6 +25,7 @@ QUERIES = [
     "t17_lineage_analysis",
     "t23e_split_tree_of_pedigree",
     "t23f_split_tree_paths_of_pedigree",
+    "s11_pedigree_sink",
 ]
 
 
