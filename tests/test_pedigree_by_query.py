@@ -26,6 +26,7 @@ QUERIES = [
     "t23e_split_tree_of_pedigree",
     "t23f_split_tree_paths_of_pedigree",
     "s11_pedigree_sink",
+    "s12_prominence_sink",
 ]
 
 
