@@ -32,6 +32,7 @@ QUERIES = [
     "t23f_split_tree_paths_of_pedigree",
     "s11_pedigree_sink",
     "s12_prominence_sink",
+    "s13_lineage_sink",
 ]
 
 
