@@ -33,6 +33,7 @@ QUERIES = [
     "s11_pedigree_sink",
     "s12_prominence_sink",
     "s13_lineage_sink",
+    "t12_class_consensus",
 ]
 
 
