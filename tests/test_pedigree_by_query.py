@@ -34,6 +34,7 @@ QUERIES = [
     "s12_prominence_sink",
     "s13_lineage_sink",
     "t12_class_consensus",
+    "t13_pedigree_evaluation",
 ]
 
 
