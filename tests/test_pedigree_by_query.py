@@ -35,6 +35,7 @@ QUERIES = [
     "s13_lineage_sink",
     "t12_class_consensus",
     "t13_pedigree_evaluation",
+    "t14_product_prominence",
 ]
 
 
