@@ -36,6 +36,7 @@ QUERIES = [
     "t12_class_consensus",
     "t13_pedigree_evaluation",
     "t14_product_prominence",
+    "s13b_lineage_sink_separate",
 ]
 
 
