@@ -382,9 +382,10 @@ def s13(spark, d):
 
 @query("s13b_lineage_sink_separate", pedigree_sql(LINEAGE_FILE))
 def s13_separate(spark, d):
-    """A folder of files for each compound, on demand: as many files as compounds."""
+    """A folder with a file for each compound, on demand: as many files as compounds."""
     path, out = folder(spark), lineage_file(spark, d)
-    sheets.write_separately(out.repartition("compound_id"), path, "compound_id")
-    back = spark.read.csv(path, header=True, schema=", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "compound_id"))
+    files = sheets.write_separately(out, path, "compound_id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema if f.name != "compound_id")
+    back = sheets.read_separately(files, path, "compound_id", schema)
     back = back.select(*out.columns).withColumn("class_bbs", F.coalesce("class_bbs", F.lit("")))
     return rounded(back, *LINEAGE_NUMBERS, digits=5)
